@@ -6,10 +6,10 @@ stands. Bands of ROWS compressed registers put classes into buckets; the share o
 agree on by chance, estimates the similarity; pairs that pass are confirmed on the full sets.
 
 A bucket is never expanded into its pairs. First each member is compared with the bucket's smallest (a star). After the components of
-the confirmed links are known, only members that are not yet with the smallest are compared with the rest of their bucket, in blocks, by
-registers alone; of the pairs that pass and still lie in different components the most similar are confirmed first, in
-widening windows until none is left. So a group of n near copies costs n confirmations and not n * n, and no link that the bands and the
-estimate admit is lost. The chance that they don't admit a pair at the threshold itself is below 4e-5 and falls steeply above it.
+the confirmed links are known, only members that are not yet with the smallest are compared with the rest of their bucket, in blocks of bounded
+size, by registers first and by full sets if these pass, and only links that join components leave a block. So a group of n near copies
+gives about n rows and not n * n, and no link that the bands and the estimate admit and that joins components is lost. The chance that
+they don't admit a pair at the threshold itself is below 4e-5 and falls steeply above it.
 
 Defined cases: a text of fewer words than a run is one run; a text without words (or null) has the empty set and no link; a row whose
 doc_id is null links with nothing and is kept; repeated rows of one doc_id share its component.
@@ -32,10 +32,8 @@ BANDS = REGISTERS // ROWS
 WIDTH, PERCENT = 3, 85
 #: Standard deviations of the estimate that a pair may fall short of the threshold by and still be confirmed exactly.
 DEVIATIONS = 4
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 4096
-#: Partners of a member that are confirmed in a first further round; each round after that takes eight times as many more.
-FIRST_WINDOW = 8
+#: Shingles, over all members, of the blocks that a large bucket is cut into for comparison.
+BLOCK = 1 << 20
 _seeds = np.random.RandomState(20).randint(0, 1 << 32, size=(2, REGISTERS), dtype=np.uint64).astype(np.uint32)
 FACTOR, SHIFT = _seeds[0] | np.uint32(1), _seeds[1]
 
@@ -116,7 +114,7 @@ def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keys = band_keys(as_registers(batch.column("registers")))
-            yield pa.record_batch({"band": pa.array(keys.ravel()), "doc": pa.array(np.repeat(np.asarray(batch.column("doc_id")), BANDS))})
+            yield pa.record_batch({"band": pa.array(keys.ravel()), "doc": pa.array(np.repeat(np.asarray(batch.column("doc_id")), BANDS)), "n": pa.array(np.repeat(np.asarray(batch.column("n")), BANDS))})
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,28 +153,49 @@ def linked(percent: int):
     return of
 
 
-def further(low: int, high: int, percent: int):
-    """Of a block of a bucket: for each asking member the partners ranked low to high by estimate, those of other components only. Each pair is taken in the first band that holds both. One row with more says whether longer lists remain."""
+def worth_asking(percent: int):
+    """Of a block of a bucket, by registers: the members of pairs that pass, lie in different components and hold one member that asks. A pair counts in the first band that holds both."""
     least = least_estimate(percent)
 
     def of(block: pa.Table) -> pa.Table:
         regs, ids, roots = as_registers(block.column("registers").combine_chunks()), *(np.asarray(block.column(c)) for c in ("doc", "root"))
         n, asks, band = np.asarray(block.column("n"), dtype=np.float64), np.asarray(block.column("asks")), block.column("band")[0].as_py()
         here = int(np.flatnonzero(band_keys(regs[:1])[0] == band)[0])
-        a, b, more = [], [], False
+        keep = np.zeros(len(ids), dtype=bool)
         for i in np.flatnonzero(asks):
-            equal = regs == regs[i]
-            fits = (estimate(equal.sum(axis=1), n[i], n) >= least) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (ids != ids[i])
+            fits = np.flatnonzero((roots != roots[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            equal = regs[fits] == regs[i]
+            good = estimate(equal.sum(axis=1), n[i], n[fits]) >= least
             if here:
-                fits &= ~equal[:, : here * ROWS].reshape(len(ids), here, ROWS).all(axis=2).any(axis=1)
-            found = np.flatnonzero(fits)
-            found = found[np.lexsort((ids[found], -equal[found].sum(axis=1)))]
-            more |= bool((roots[found[high:]] != roots[i]).any())
-            for j in found[low:high]:
-                if roots[j] != roots[i]:
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-        return pa.table({"a": pa.array([*a, None], pa.int64()), "b": pa.array([*b, None], pa.int64()), "more": pa.array([False] * len(a) + [more])})
+                good &= ~equal[:, : here * ROWS].reshape(len(fits), here, ROWS).all(axis=2).any(axis=1)
+            keep[fits[good]] = True
+            keep[i] |= good.any()
+        return block.select(["band", "block", "other", "doc", "root", "asks"]).filter(pa.array(keep))
+
+    return of
+
+
+def connect(percent: int):
+    """Of such members with their full sets: links that join components, each pair of them once."""
+
+    def of(block: pa.Table) -> pa.Table:
+        ids, roots, asks = (np.asarray(block.column(c)) for c in ("doc", "root", "asks"))
+        raw = block.column("members").to_pylist()
+        n = np.array([len(x) // 8 for x in raw])
+        at = np.cumsum(n) - n
+        _, values = np.unique(np.frombuffer(b"".join(raw), dtype=np.uint64), return_inverse=True)
+        own, parts = np.unique(roots, return_inverse=True)
+        links, has = [], np.zeros(len(values) + 1, dtype=np.int32)
+        for i in np.flatnonzero(asks):
+            mine = values[at[i] : at[i] + n[i]]
+            has[mine] = 1
+            same = np.add.reduceat(has[values], at)
+            has[mine] = 0
+            for j in np.flatnonzero((100 * same >= percent * (n + n[i] - same)) & (parts != parts[i])):
+                if parts[j] != parts[i]:
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    parts[parts == parts[j]] = parts[i]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return of
 
@@ -197,8 +216,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     member = stored(join_hot(nodes.select("doc_id", "set_key"), classes, "set_key").select("doc_id", "rep").distinct())
     regs = stored(nodes.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.col("n_shingles").alias("n"), "registers"))
 
-    rows = regs.select("doc_id", "registers").mapInArrow(bands, "band long, doc long")
-    buckets = rows.groupBy("band").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = regs.mapInArrow(bands, "band long, doc long, n long")
+    buckets = rows.groupBy("band").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1").drop("size")
     hits = stored(join_hot(rows, buckets, "band"))
     members = stored(d.join(hits.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets, "doc long, members binary").dropDuplicates(["doc"]))
 
@@ -211,24 +230,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     links = stored(confirm(star, members, percent))
     roots = stored(components(links))
 
-    low, high = 0, FIRST_WINDOW
-    while True:
-        rooted = hits.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        ends = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("doc") == F.col("leader"), F.col("root"))).alias("lead")).where("low <> high")
-        open_ = join_hot(rooted, ends.select("band", "lead"), "band").withColumn("asks", F.col("root") != F.col("lead"))
-        blocks = F.ceil(F.col("size") / block).cast("int")
-        own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-        asking = open_.where("asks").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rest = open_.withColumn("other", own).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(False))
-        asking = asking.where(own != F.col("other")).unionByName(rest.where("block <> other")).unionByName(open_.withColumn("block", own).withColumn("other", own))
-        found = stored(asking.join(regs.withColumnRenamed("doc_id", "doc"), "doc").select("band", "block", "other", "doc", "root", "asks", "n", "registers").groupBy("band", "block", "other").applyInArrow(further(low, high, percent), "a long, b long, more boolean"))
-        fresh = stored(confirm(found.where("a IS NOT NULL").select("a", "b").distinct(), members, percent))
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = stored(components(links))
-        if found.where("more").isEmpty():
-            break
-        low, high = high, high * 8
+    rooted = hits.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    ends = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("doc") == F.col("leader"), F.col("root"))).alias("lead")).where("low <> high")
+    open_ = join_hot(rooted, ends.select("band", "lead"), "band").withColumn("asks", F.col("root") != F.col("lead"))
+    blocks = F.ceil(F.col("total") / block).cast("int")
+    own, each = F.pmod(F.xxhash64("doc"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    inside = open_.withColumn("block", own).withColumn("other", own)
+    asking = open_.where("asks").withColumn("block", own).withColumn("other", each).where("block <> other")
+    asked = open_.withColumn("other", own).withColumn("block", each).withColumn("asks", F.lit(False)).where("block <> other")
+    rows = inside.unionByName(asking).unionByName(asked).select("band", "block", "other", "doc", "root", "asks", "n").join(regs.select(F.col("doc_id").alias("doc"), "registers"), "doc")
+    rows = rows.groupBy("band", "block", "other").applyInArrow(worth_asking(percent), "band long, block int, other int, doc long, root long, asks boolean")
+    fresh = stored(rows.join(members, "doc").groupBy("band", "block", "other").applyInArrow(connect(percent), "a long, b long").distinct())
+    if not fresh.isEmpty():
+        roots = stored(components(links.unionByName(fresh)))
 
     rep_root = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")).groupBy("doc_id").agg(F.min("root").alias("root"))
     out = signed.select("doc_id", "n_shingles").join(rep_root, "doc_id", "left")
