@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import minhash_dedup, substring_dedup
+from graphloom.llm import minhash_dedup, quality_rules, substring_dedup
 from graphloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,10 +45,31 @@ ORACLES["op10_minhash_dedup"] = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(words[p:p + 2], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, CASE len(words) WHEN 0 THEN 1 ELSE greatest(len(words) - 1, 2) END)) AS p FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
 near AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
 """
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+runs AS (SELECT doc_id, p, array_to_string(words[p:p + 2], ' ') AS run FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS p FROM d)),
+twice AS (SELECT doc_id, p FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT d.doc_id, host, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM b WHERE host IS NOT NULL GROUP BY host),
+m AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS spread, avg(1 / n) AS noise FROM h),
+s AS (SELECT mean, CASE WHEN spread - mean * (1 - mean) * noise > 0 THEN least(1000.0, greatest(2.0, mean * (1 - mean) / (spread - mean * (1 - mean) * noise) - 1)) ELSE 1000.0 END AS strength FROM m),
+v AS (SELECT host, (failed + mean * strength) / (n + strength) > 0.8 AS rejected FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept FROM b LEFT JOIN v USING (host)
+"""
