@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import minhash_dedup, quality_rules, substring_dedup
+from graphloom.llm import minhash_dedup, quality_rules, substring_dedup, toxicity
 from graphloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ s AS (SELECT mean, CASE WHEN spread - mean * (1 - mean) * noise > 0 THEN least(1
 v AS (SELECT host, (failed + mean * strength) / (n + strength) > 0.8 AS rejected FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept FROM b LEFT JOIN v USING (host)
 """
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
