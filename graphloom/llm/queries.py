@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import minhash_dedup, packing, quality_rules, substring_dedup, toxicity
+from graphloom.llm import minhash_dedup, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity
 from graphloom.llm.common import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -87,3 +87,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
