@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_format, minhash_dedup, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity
+from graphloom.llm import chat_format, minhash_dedup, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity, warc
 from graphloom.llm.common import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -112,3 +112,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(chars)::BIGINT AS formatted_chars, bool_and(fits) AS valid, coalesce(min(k) FILTER (NOT fits), -1)::BIGINT AS refused_turn
 FROM f GROUP BY conv_id
 """
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op8_warc"] = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to FROM f
+"""
