@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_format, minhash_dedup, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity, warc
+from graphloom.llm import chat_format, html_extract, minhash_dedup, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity, warc
 from graphloom.llm.common import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -125,3 +125,8 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to FROM f
 """
+
+
+@query
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
