@@ -40,10 +40,11 @@ FEATURES = ("place", "words", "links", "words_before", "links_before", "words_be
 LABELLED = """
 1 60 0 40 0 50 0 1|1 9 0 2 0 60 0 1|1 1 0 70 0 45 0 1|1 3 0 0 0 1 0 1|1 120 .05 30 0 25 0 1|1 12 .5 40 0 50 0 1|1 2 1 30 0 40 0 1|1 5 0 8 1 12 0 1|1 30 .2 0 0 0 0 1|1 200 0 9 0 6 0 1
 1 6 1 4 1 60 0 1|1 15 0 20 .3 3 0 1|1 40 0 3 1 2 1 1|1 8 0 8 0 4 0 1|1 1 0 1 0 1 0 1|1 300 .01 200 0 150 0 1
+1 1 0 1 0 2 .5 1|1 20 0 5 0 3 1 1|1 4 0 4 0 4 1 1|1 2 .5 1 0 1 0 1|1 50 0 20 0 3 .8 1|1 9 0 9 0 1 1 1|1 1 0 0 0 3 .6 1|1 2 1 3 0 2 1 1
 -1 1 1 0 0 1 1 0|-1 2 1 1 1 2 1 0|-1 8 0 2 1 12 0 0|-1 60 0 40 0 50 0 0|-1 7 0 50 0 0 0 0|-1 25 .1 30 0 20 0 0|-1 3 0 60 0 1 1 0|-1 120 0 6 0 40 0 0|-1 45 0 9 0 200 0 0|-1 5 .4 70 0 3 0 0
 -1 90 0 90 0 90 0 0|-1 4 0 4 0 4 0 0|-1 15 0 0 0 60 0 0|-1 200 .02 30 0 20 0 0|-1 1 0 300 0 0 0 0|-1 33 .3 10 1 5 1 0
-0 70 0 50 0 60 0 1|0 40 .05 60 0 8 0 1|0 25 0 90 0 40 0 1|0 120 0 2 1 100 0 1|0 18 0 60 0 45 0 1|0 9 0 3 1 80 0 1|0 6 0 90 0 70 0 1|0 200 .02 0 0 0 0 1|0 35 0 0 0 30 0 1|0 22 .1 40 0 30 .1 1|0 14 0 30 0 25 0 1|0 11 0 0 0 90 0 1|0 11 0 0 0 0 0 1|0 4 0 0 0 0 0 1|0 2 0 0 0 0 0 1|0 1 0 0 0 0 0 1|0 45 0 0 0 0 0 1
-0 2 1 1 1 2 1 0|0 1 1 0 0 1 1 0|0 4 1 2 1 3 1 0|0 6 .8 3 1 4 1 0|0 3 0 2 1 2 1 0|0 12 .9 5 1 6 .8 0|0 25 .7 10 .8 12 .9 0|0 5 0 2 1 4 .9 0|0 4 .6 90 0 3 1 0|0 8 0 4 1 5 1 0|0 40 .8 30 .9 25 .8 0|0 3 0 3 0 2 1 0
+0 70 0 50 0 60 0 1|0 40 .05 60 0 8 0 1|0 25 0 90 0 40 0 1|0 120 0 2 1 100 0 1|0 18 0 60 0 45 0 1|0 9 0 3 1 80 0 1|0 6 0 90 0 70 0 1|0 200 .02 0 0 0 0 1|0 35 0 0 0 30 0 1|0 22 .1 40 0 30 .1 1|0 14 0 30 0 25 0 1|0 11 0 0 0 90 0 1|0 11 0 0 0 0 0 1|0 4 0 0 0 0 0 1|0 2 0 0 0 0 0 1|0 1 0 0 0 0 0 1|0 45 0 0 0 0 0 1|0 50 0 70 0 4 1 1|0 80 .05 30 0 3 .9 1
+0 2 1 1 1 2 1 0|0 1 1 0 0 1 1 0|0 4 1 2 1 3 1 0|0 6 .8 3 1 4 1 0|0 3 0 2 1 2 1 0|0 12 .9 5 1 6 .8 0|0 25 .7 10 .8 12 .9 0|0 5 0 2 1 4 .9 0|0 4 .6 90 0 3 1 0|0 8 0 4 1 5 1 0|0 40 .8 30 .9 25 .8 0|0 60 .9 3 1 2 1 0|0 3 0 3 0 2 1 0
 """
 
 
