@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_format, html_extract, minhash_dedup, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity, warc
+from graphloom.llm import chat_format, html_extract, minhash_dedup, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity, warc, webp
 from graphloom.llm.common import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -130,3 +130,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 @query
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.round_trip(table(spark, sf_dir, "documents"))
