@@ -247,3 +247,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     rep_root = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")).groupBy("doc_id").agg(F.min("root").alias("root"))
     out = signed.select("doc_id", "n_shingles").join(rep_root, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each component stays. Rows without doc_id stay."""
+    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    known = docs.where("doc_id IS NOT NULL")
+    return known.join(kept, known["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

@@ -75,11 +75,31 @@ def host_verdicts(failures: DataFrame, max_rate: float) -> DataFrame:
     return failures.crossJoin(F.broadcast(prior.select("mean", strength.alias("strength")))).select("host", shrunk.alias("shrunk_rate"), (shrunk > max_rate).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)"""
+def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Figures and base verdict of each document, stored; and the verdict on each host."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("host"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     base = stored(d.mapInArrow(figures, FIGURES)).withColumn("base_failed", failed)
-    hosts = host_verdicts(base.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), max_rate)
+    return base, base.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+
+
+def keep_good(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
+    """The rows of docs, with all their columns, that pass the base rules and whose host isn't rejected."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_chunks(batch):
+                part = batch.slice(a, b - a)
+                w = words(part.column("text"))
+                yield part.filter(pa.array((w.counts >= MIN_WORDS) & (100 * repeated_words(w, REPEAT_WIDTH) <= MAX_REPEAT_PERCENT * w.counts)))
+
+    rejected = host_verdicts(measured(docs)[1], max_rate).where("host_rejected").select("host")
+    return docs.mapInArrow(of, docs.schema).join(rejected, F.col("source").cast("string") == F.col("host"), "left_anti")
+
+
+def judge(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)"""
+    base, failures = measured(docs)
+    hosts = host_verdicts(failures, max_rate)
     judged = join_hot(base.where("host IS NOT NULL"), hosts.select("host", "host_rejected"), "host").unionByName(base.where("host IS NULL").withColumn("host_rejected", F.lit(False)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))

@@ -44,7 +44,7 @@ def unpack(raw: bytes, width: int) -> np.ndarray:
 
 def group_windows(group: pa.Table, window: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """The group by ascending doc_id, the value of each window, and the row that each window lies in. Rows without an id have none."""
-    group = group.sort_by("doc_id")
+    group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     values, rows = [], []
     for a, b in text_chunks(group):
         w = words(group.column("text").slice(a, b - a))
@@ -172,12 +172,40 @@ def kept_texts(w, gone: np.ndarray) -> list[str]:
     return [data[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def replace_texts(window: int):
+    """The group's rows with all their columns, and the kept texts in place of the texts."""
+    digests = remove(window, True)
+
+    def of_group(group: pa.Table, told: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        kept = digests(group, told).column("kept_text")
+        group = group.set_column(group.column_names.index("text"), "text", kept.cast(group.schema.field("text").type))
+        if "n_chars" in group.column_names:
+            n = pa.array([len(t) for t in kept.to_pylist()], pa.int64())
+            group = group.set_column(group.column_names.index("n_chars"), "n_chars", n.cast(group.schema.field("n_chars").type))
+        return group.drop_columns("g")
+
+    return of_group
+
+
+def dealt(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, int]:
+    parts = slices(docs, group_bytes)
+    return docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), parts
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, without the repeated intervals of their texts; n_chars, if there, follows the text."""
+    full = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce("text", F.lit(""))})
+    d, parts = dealt(full, group_bytes)
+    told = d.groupBy("g").applyInArrow(send(parts, window), PACKED).groupBy("bucket").applyInArrow(meet, "g int, known binary")
+    return d.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(replace_texts(window), full.schema)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): each word that a window covers which also starts in a document of smaller doc_id is removed.
 
     kept_sha256 is of the kept words joined by one space; kept_text, only with texts, is the text without the removed intervals.
     """
-    parts = slices(docs, group_bytes)
-    d = clean(docs).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    d, parts = dealt(clean(docs), group_bytes)
     told = d.groupBy("g").applyInArrow(send(parts, window), PACKED).groupBy("bucket").applyInArrow(meet, "g int, known binary")
     return d.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(remove(window, texts), RESULT)

@@ -161,3 +161,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     scored = clean(docs).mapInArrow(of, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below THRESHOLD."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_chunks(batch):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(model.score(part.column("text").fill_null("")) < THRESHOLD))
+
+    return docs.mapInArrow(of, docs.schema)
