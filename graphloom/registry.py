@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["metric_flags"](spark, sf_dir).orderBy(F.desc("in_deg"), "fn")
 
 
-from graphloom.operators import graph_queries, interproc_queries  # noqa: E402, F401
+from graphloom.operators import format_queries, graph_queries, interproc_queries  # noqa: E402, F401

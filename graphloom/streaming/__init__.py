@@ -1 +1 @@
-"""Program-graph analytics on Spark."""
+"""Streams over the event table. An extension of our own: analysis in windows of event time, with late data dropped by watermark."""
