@@ -54,12 +54,13 @@ def main_of(spark, d) -> int:
     return dv.call_nodes(spark, d).agg(F.min("fn")).first()[0]
 
 
-INF = F.coalesce(F.col("height").cast("string"), F.lit("inf"))
+def inf():
+    return F.coalesce(F.col("height").cast("string"), F.lit("inf"))
 
 
 @query("metric_flags", METRIC + "SELECT * REPLACE (coalesce(height::VARCHAR, 'inf') AS height) FROM m")
 def _(spark, d):
-    return cg.metrics(dv.call_nodes(spark, d), sites(spark, d), main_of(spark, d)).withColumn("height", INF)
+    return cg.metrics(dv.call_nodes(spark, d), sites(spark, d), main_of(spark, d)).withColumn("height", inf())
 
 
 @query("metric_totals", METRIC + "SELECT count(*) AS functions, (SELECT count(*) FROM p) AS edges, (SELECT count(*) FROM cg) AS sites, (SELECT count(DISTINCT label) FROM s) AS sccs, (SELECT count(DISTINCT label) FROM s WHERE fn IN (SELECT fn FROM loops)) AS cyclic, count(*) FILTER (dead) AS dead, count(*) FILTER (leaf) AS leaves, count(*) FILTER (root) AS roots, CASE WHEN bool_or(recursive) THEN 'inf' ELSE max(height)::VARCHAR END AS height FROM m")
@@ -77,7 +78,7 @@ def _(spark, d):
 
 @query("metric_topk_height", METRIC + "SELECT fn, coalesce(height::VARCHAR, 'inf') AS height FROM m ORDER BY m.height DESC NULLS FIRST, fn LIMIT 5")
 def _(spark, d):
-    return cg.heights(*graph(spark, d)).orderBy(F.desc_nulls_first("height"), "fn").limit(5).withColumn("height", INF)
+    return cg.heights(*graph(spark, d)).orderBy(F.desc_nulls_first("height"), "fn").limit(5).withColumn("height", inf())
 
 
 @query("bfs_level", G + BFS.format(root=0, to="dst", of="src") + " SELECT * FROM lv")
@@ -162,7 +163,7 @@ def _(spark, d):
 
 @query("height_condensation", METRIC + "SELECT fn, coalesce(height::VARCHAR, 'inf') AS height FROM m")
 def _(spark, d):
-    return cg.heights(*graph(spark, d)).withColumn("height", INF)
+    return cg.heights(*graph(spark, d)).withColumn("height", inf())
 
 
 @query("shortest_path_len", G + BFS.format(root=0, to="dst", of="src") + " SELECT 0::BIGINT AS src, fn AS dst, level AS len FROM lv WHERE level > 0")
