@@ -21,17 +21,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def load() -> None:
+    """Imports the modules that register queries; here, and not above, as they import this one."""
+    from graphloom.operators import checker_queries, format_queries, graph_queries, interproc_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the call graph: scan, filter, aggregations, closure and sort."""
-    return QUERIES["metric_flags"](spark, sf_dir).orderBy(F.desc("in_deg"), "fn")
-
-
-from graphloom.operators import format_queries, graph_queries, interproc_queries  # noqa: E402, F401
+    return queries()["metric_flags"](spark, sf_dir).orderBy(F.desc("in_deg"), "fn")
