@@ -19,16 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import clean, text_chunks
+from graphloom.llm.common import clean, give_back, small_batches, text_chunks, tidy
 from graphloom.llm.textkernel import K1, K2, U, mix, run_starts, runs, words
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 4, (3, 4, 5)
 #: Labelled documents to learn from at most: those whose ids have the smallest hash.
-MOST_LABELLED = 4000
-EPOCHS, RATE, DECAY, SCALE = 60, 0.05, 1.0, 30.0
+MOST_LABELLED = 3000
+EPOCHS, RATE, DECAY, SCALE = 60, 0.08, 1.0, 30.0
 #: Buckets that fewer of the texts' words fall in aren't learned, as they would only recall single texts.
 FEWEST = 10
 THRESHOLD = 0.3
+#: Words whose subwords are found together.
+BLOCK = 1 << 15
 HELD_OUT = 2
 
 
@@ -58,7 +60,7 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         if m:
             out[np.repeat(filled, k) + within] = runs(marked, g)[np.repeat(of_marked[:, 0], k) + within] + U(g)
         filled = filled + k
-    return (out % U(BUCKETS)).astype(np.int64), out_at
+    return (out % U(BUCKETS)).astype(np.int32), out_at
 
 
 @dataclass
@@ -75,11 +77,37 @@ class Bag:
 def bag(texts: pa.Array) -> Bag:
     w = words(texts, lower=True)
     _, first, which = np.unique(w.fingerprints(), return_index=True, return_inverse=True)
-    buckets, at = subwords(w.data, w.starts[first], w.ends[first])
+    parts = [subwords(w.data, w.starts[first[k : k + BLOCK]], w.ends[first[k : k + BLOCK]]) for k in range(0, len(first), BLOCK)]
+    buckets = np.concatenate([b for b, _ in parts]) if parts else np.zeros(0, dtype=np.int32)
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))]) if parts else np.zeros(1, dtype=np.int64)
     pair, count = np.unique(w.owner() * max(1, len(first)) + which, return_counts=True)
     return Bag(buckets, at, pair // max(1, len(first)), pair % max(1, len(first)), count)
 
 
+def bag_of_many(texts: list[str], at_once: int = 256) -> Bag:
+    """The same for many texts, a few at a time: words are numbered as they first occur."""
+    chunks = [(k, pa.array(texts[k : k + at_once], pa.large_string())) for k in range(0, len(texts), at_once)]
+    every = np.unique(np.concatenate([np.unique(words(c, lower=True).fingerprints()) for _, c in chunks])) if chunks else np.zeros(0, dtype=U)
+    number = np.full(len(every), -1, dtype=np.int32)
+    n, buckets, sizes, text, word, count = 0, [], [], [], [], []
+    for k, c in chunks:
+        w = words(c, lower=True)
+        own, first, which = np.unique(w.fingerprints(), return_index=True, return_inverse=True)
+        place = np.searchsorted(every, own)
+        new = np.flatnonzero(number[place] < 0)
+        number[place[new]] = np.arange(n, n + len(new), dtype=np.int32)
+        n += len(new)
+        b, at = subwords(w.data, w.starts[first[new]], w.ends[first[new]])
+        buckets.append(b)
+        sizes.append(np.diff(at))
+        pair, m = np.unique(w.owner() * max(1, len(own)) + which, return_counts=True)
+        text.append((pair // max(1, len(own)) + k).astype(np.int32))
+        word.append(number[place[pair % max(1, len(own))]] if len(own) else np.zeros(0, dtype=np.int32))
+        count.append(m.astype(np.int32))
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+    return Bag(join(buckets), np.concatenate([[0], np.cumsum(join(sizes))]).astype(np.int64), join(text), join(word), join(count))
+
+
 @dataclass
 class Model:
     weight: np.ndarray
@@ -95,43 +123,60 @@ class Model:
 
 
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
-    """Full-batch Adam. Means are taken from the mean over all documents, which all share, and scaled, so that a few words in a long text can weigh."""
+    """Full-batch Adam at a rate that falls to zero. Means are taken from the mean over all documents, which all share, and scaled, so that a few words in a long text can weigh."""
     rate = float(toxic.mean()) if len(toxic) else 0.0
     if rate in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), np.inf if rate else -np.inf)
-    b = bag(pa.array(texts, pa.large_string()))
+    b = bag_of_many(texts)
     n, per_word = len(texts), np.diff(b.word_at)
     size = np.maximum(np.bincount(b.text, per_word[b.word] * b.count, minlength=n), 1)
     share = SCALE * b.count / size[b.text]
-    seen = np.bincount(b.buckets, np.repeat(np.bincount(b.word, minlength=len(per_word)), per_word), minlength=BUCKETS)
+    seen, of_texts = np.zeros(BUCKETS), np.bincount(b.word, minlength=len(per_word))
+    for k in range(0, len(per_word), BLOCK):
+        seen += np.bincount(b.buckets[b.word_at[k] : b.word_at[min(k + BLOCK, len(per_word))]], np.repeat(of_texts[k : k + BLOCK], per_word[k : k + BLOCK]), minlength=BUCKETS)
     used = np.flatnonzero(seen >= min(FEWEST, max(2, n // 100)))
+    if not len(used):
+        return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     local = place[b.buckets]
+    b.buckets = np.zeros(0, dtype=np.int32)
     word_of = np.repeat(np.arange(len(per_word), dtype=np.int32), per_word)[local >= 0]
     local = local[local >= 0]
+    word_at = np.flatnonzero(np.diff(word_of, prepend=-1))  # of words that have a learned subword
+    spelled = word_of[word_at]
+    order = np.argsort(local, kind="stable").astype(np.int32)
+    bucket_at, word_of = np.searchsorted(local[order], np.arange(len(used))), word_of[order]
+    del order
     rng = np.random.default_rng(seed)
     vectors, layer, bias = rng.uniform(-0.05, 0.05, (DIMENSIONS, len(used))) / DIMENSIONS, rng.normal(0, 1, (DIMENSIONS, 2)), np.log([1 - rate, rate])
     target = np.stack([1 - toxic, toxic], axis=1).astype(float)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, layer, bias)]
-    middle = np.zeros(DIMENSIONS)
+
+    def means() -> np.ndarray:
+        out = np.empty((n, DIMENSIONS))
+        for k, v in enumerate(vectors):
+            of_word = np.zeros(len(per_word))
+            of_word[spelled] = np.add.reduceat(v[local], word_at)
+            out[:, k] = np.bincount(b.text, of_word[b.word] * share, minlength=n)
+        return out
+
     for epoch in range(1, EPOCHS + 1):
-        mean = np.stack([np.bincount(b.text, np.bincount(word_of, v[local], minlength=len(per_word))[b.word] * share, minlength=n) for v in vectors], axis=1)
-        middle = mean.mean(axis=0)
-        mean -= middle
+        mean = means()
+        mean -= mean.mean(axis=0)
         logits = mean @ layer + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         error = (p - target) / n
         to_mean = error @ layer.T
         to_mean -= to_mean.mean(axis=0)
-        to_vectors = np.stack([np.bincount(local, np.bincount(b.word, to_mean[b.text, k] * share, minlength=len(per_word))[word_of], minlength=len(used)) for k in range(DIMENSIONS)])
+        to_vectors = np.stack([np.add.reduceat(np.bincount(b.word, to_mean[b.text, k] * share, minlength=len(per_word))[word_of], bucket_at) for k in range(DIMENSIONS)])
         slopes = (to_vectors + DECAY / n * vectors, mean.T @ error, error.sum(axis=0))
         for param, slope, (m, v) in zip((vectors, layer, bias), slopes, state, strict=True):
             m += 0.1 * (slope - m)
             v += 0.001 * (slope * slope - v)
-            param -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
-    towards = layer[:, 1] - layer[:, 0]
+            param -= RATE * (1 - (epoch - 1) / EPOCHS) * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+    towards, middle = layer[:, 1] - layer[:, 0], means().mean(axis=0)  # the middle of the vectors as they are now
     weight = np.zeros(BUCKETS)
     weight[used] = SCALE * (towards @ vectors)
     return Model(weight, float(bias[1] - bias[0] - middle @ towards))
@@ -147,7 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = clean(docs.where("text IS NOT NULL")).join(F.broadcast(known), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows], np.array([r.toxic for r in rows], dtype=float))
+    model = fit([r.text for r in rows], np.array([r.toxic for r in rows], dtype=float))
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -159,7 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(model.score(part.column("text")))})
 
-    scored = clean(docs).mapInArrow(of, "doc_id long, score double")
+    scored = clean(docs).mapInArrow(tidy(of), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -172,4 +220,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(model.score(part.column("text").fill_null("")) < THRESHOLD))
 
-    return docs.mapInArrow(of, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(of), docs.schema)
