@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +17,44 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a kernel turns into arrays at once; it bounds a Python worker's memory whatever the Arrow batch holds.
 CHUNK_BYTES = 1 << 20
+#: Rows that a kernel gets at once at most, where the session doesn't say.
+BATCH_ROWS = 1000
 #: Rows of one key above which a join spreads them.
 HOT_ROWS = 2000
+#: Keys that a join takes for hot, at most.
+MOST_HOT = 10_000
+
+
+#: What kernels remember from task to task, by the operator that does.
+remembered: dict[str, dict] = {}
+
+
+def memory_of(owner: str | None) -> dict:
+    """What the operator remembers in this worker. What others do goes: workers serve all stages, one after another."""
+    for other in list(remembered):
+        if other != owner:
+            del remembered[other]
+    return remembered.setdefault(owner, {}) if owner else {}
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, which allocators don't do by themselves."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(kernel: Callable, owner: str | None = None) -> Callable:
+    """A kernel over batches that leaves nothing behind in its worker but what its operator remembers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of(owner)
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +102,17 @@ def slices(df: DataFrame, target_bytes: int) -> int:
     return max(least, min(1 << 20, math.ceil(size / target_bytes)))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts are long, so that Spark's default number of rows in a batch would hold tens of megabytes in both processes. A session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def clean(docs: DataFrame) -> DataFrame:
     """The two columns that the text operators read, whatever else the table has: doc_id long, text (null: empty)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def text_chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -86,35 +133,75 @@ def text_chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: i
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of left with right, which has each key once. Keys with more than hot_rows rows in left are dealt over as many parts as they need, and their one row of right is repeated for each."""
-    parts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
-    spread = right.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    hot = parts.where("_parts > 1")
-    salted = left.join(hot, key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int"))).drop("_parts")
+    """Inner join of left with right, which has each key once. Hot keys of left are dealt over as many parts as they need, and their one row of right is repeated for each.
+
+    A key is hot if it has more than hot_rows rows and more than one MOST_HOT-th of all rows. So there are at most MOST_HOT hot keys, whatever the
+    data, and their list is broadcast: left's rows learn their part without being brought together by key.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    share = F.greatest(F.lit(hot_rows), F.ceil(F.col("_all") / MOST_HOT))
+    hot = counts.where(F.col("_n") > hot_rows).crossJoin(F.broadcast(total)).where(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int"))).drop("_parts")
+    spread = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return salted.join(spread, [key, "_part"]).drop("_part")
 
 
+def free_driver(spark: SparkSession) -> None:
+    """Plans and compiled classes of what has run go now, and not when the heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): for each node of the undirected edges (a, b) the smallest node that it reaches.
 
-    Alternating large-star and small-star steps; each is a shuffle of at most as many rows as there are edges, a node's
-    neighbours are never gathered in one row (only their minimum is, which combines before the shuffle), and each round
-    is written to the shared folder. No edges: no rows.
+    Tasks first shrink their own edges to stars. Then large-star and small-star steps alternate; each is a shuffle of at most as many rows as there
+    are edges, a node's neighbours are never gathered in one row (only their minimum is, which combines before the shuffle), and each round is
+    written to the shared folder. The largest degree of a round says whether its joins must spread hot nodes. No edges: no rows.
     """
     spark = edges.sparkSession
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38)"))).first()
+    e = stored(edges.where("a <> b").select("a", "b").mapInArrow(tidy(local_stars), "a long, b long").distinct())
+
+    def facts() -> tuple:
+        degrees = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38)")).alias("h"))
+        return tuple(degrees.agg(F.sum("n"), F.sum("h"), F.max("n")).first())
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        return join_hot(left, right, "a") if state[2] > HOT_ROWS else left.join(right, "a")
+
+    state = facts()
+    if not state[0]:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = join_hot(both, low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        own = join_hot(large, low, "a")
+        large = meet(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        own = meet(large, large.groupBy("a").agg(F.min("b").alias("m")))
         small = own.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         e, before = stored(small), state
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38)"))).first()
-        if state == before:  # the same edges: their number and the sum of their hashes
+        state = facts()
+        if state[:2] == before[:2]:  # the same edges: their number and the sum of their hashes
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    free_driver(spark)
     return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (node, smallest node that the batch's edges lead it to)."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def find(x: int, parent: dict[int, int] = parent) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        stars = [(x, find(x)) for x in parent if find(x) != x]
+        yield pa.record_batch({"a": pa.array([a for a, _ in stars], pa.int64()), "b": pa.array([b for _, b in stars], pa.int64())})

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import clean, components, join_hot, stored, text_chunks
+from graphloom.llm.common import clean, components, join_hot, stored, text_chunks, tidy
 from graphloom.llm.textkernel import RADIX, U, mix, shingles, words
 
 REGISTERS, ROWS, MANTISSA = 168, 6, 10
@@ -204,29 +204,29 @@ def confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are as similar as asked, by their full sets."""
     with_b = pairs.join(members.select(F.col("doc").alias("b"), F.col("members").alias("b_members")), "b")
     full = join_hot(with_b, members.select(F.col("doc").alias("a"), F.col("members").alias("a_members")), "a")
-    return full.select("a", "b", "a_members", "b_members").mapInArrow(linked(percent), "a long, b long")
+    return full.select("a", "b", "a_members", "b_members").mapInArrow(tidy(linked(percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): component_id is the smallest document that links reach, and it is the one kept."""
     d = clean(docs)
-    signed = stored(d.mapInArrow(signatures, "doc_id long, n_shingles long, set_key binary, registers binary"))
+    signed = stored(d.mapInArrow(tidy(signatures), "doc_id long, n_shingles long, set_key binary, registers binary"))
     nodes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = nodes.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = stored(join_hot(nodes.select("doc_id", "set_key"), classes, "set_key").select("doc_id", "rep").distinct())
     regs = stored(nodes.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.col("n_shingles").alias("n"), "registers"))
 
-    rows = regs.mapInArrow(bands, "band long, doc long, n long")
+    rows = regs.mapInArrow(tidy(bands), "band long, doc long, n long")
     buckets = rows.groupBy("band").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1").drop("size")
     hits = stored(join_hot(rows, buckets, "band"))
-    members = stored(d.join(hits.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets, "doc long, members binary").dropDuplicates(["doc"]))
+    members = stored(d.join(hits.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(tidy(sets), "doc long, members binary").dropDuplicates(["doc"]))
 
     def signed_as(side: str) -> DataFrame:
         return regs.select(F.col("doc_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("registers").alias(f"{side}_registers"))
 
     star = hits.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     star = join_hot(star.join(signed_as("b"), "b"), signed_as("a"), "a").where(F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"))
-    star = star.select("a", "b", "a_n", "b_n", "a_registers", "b_registers").mapInArrow(promising(percent), "a long, b long")
+    star = star.select("a", "b", "a_n", "b_n", "a_registers", "b_registers").mapInArrow(tidy(promising(percent)), "a long, b long")
     links = stored(confirm(star, members, percent))
     roots = stored(components(links))
 
