@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import small_batches, tidy
+
 OPENING, HELD = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -114,7 +116,7 @@ ARROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha
 
 def ordered(conversations: DataFrame) -> DataFrame:
     """Whole conversations in each partition, their turns in order."""
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
     return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -136,7 +138,7 @@ def digests(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
         if now:
             yield pa.record_batch([pa.array([c], f.type) for c, f in zip(now.row(), ARROW, strict=True)], schema=ARROW)
 
-    return ordered(conversations).mapInArrow(of, RESULT)
+    return ordered(conversations).mapInArrow(tidy(of), RESULT)
 
 
 def segments(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -153,4 +155,4 @@ def segments(conversations: DataFrame, template: Template = CHATML) -> DataFrame
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()), strict=True)], names=["conv_id", "turn", "segment", "text", "loss"])
 
-    return ordered(conversations).mapInArrow(of, "conv_id long, turn long, segment int, text string, loss boolean")
+    return ordered(conversations).mapInArrow(tidy(of), "conv_id long, turn long, segment int, text string, loss boolean")

@@ -25,16 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import clean, stored, text_chunks
+from graphloom.llm.common import clean, memory_of, stored, text_chunks, tidy
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 PUNCTUATION = string.punctuation.encode()
 #: Letters whose bytes in UTF-8 are all that occur behind the first, and all first ones.
 LETTERS = [chr(c) for c in [*range(0x80, 0x800, 0x20), *range(0x80, 0xC0), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x10000, 0x400), *range(0x10000, 0x110000, 0x10000)]]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-_state: dict = {}
 
 
 class WordIds:
@@ -99,9 +98,10 @@ class WordIds:
 
 
 def words_of(path: str) -> WordIds:
-    if path not in _state:
-        _state[path] = WordIds(path)
-    return _state[path]
+    memory = memory_of("packing")
+    if path not in memory:
+        memory[path] = WordIds(path)
+    return memory[path]
 
 
 def cut(path: str, capacity: int):
@@ -193,11 +193,11 @@ def place(rows: list[tuple[int, int, int, int, int]]):
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset). What the driver gets is one count for each length, capacity at most."""
-    pieces = stored(clean(docs).mapInArrow(cut(tokenizer, capacity), PIECES))
+    pieces = stored(clean(docs).mapInArrow(tidy(cut(tokenizer, capacity), "packing"), PIECES))
     of_part = pieces.where(F.col("length") < capacity).groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     rows, bins = plan({r.length: r.n for r in of_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = of_part.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     some = pieces.where(F.col("length") < capacity).join(before, ["length", "part"]).withColumn("nth", F.col("nth") + F.col("before")).drop("before", "part")
-    packed = some.mapInArrow(place(rows), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = some.mapInArrow(tidy(place(rows)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     full = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + bins).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_hot, stored, text_chunks
+from graphloom.llm.common import join_hot, small_batches, stored, text_chunks, tidy
 from graphloom.llm.textkernel import K1, U, mix, run_starts, runs, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WIDTH = 50, 50, 3
@@ -77,9 +77,9 @@ def host_verdicts(failures: DataFrame, max_rate: float) -> DataFrame:
 
 def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Figures and base verdict of each document, stored; and the verdict on each host."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("host"))
+    d = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("host"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    base = stored(d.mapInArrow(figures, FIGURES)).withColumn("base_failed", failed)
+    base = stored(d.mapInArrow(tidy(figures), FIGURES)).withColumn("base_failed", failed)
     return base, base.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
 
 
@@ -93,8 +93,8 @@ def keep_good(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:
                 w = words(part.column("text"))
                 yield part.filter(pa.array((w.counts >= MIN_WORDS) & (100 * repeated_words(w, REPEAT_WIDTH) <= MAX_REPEAT_PERCENT * w.counts)))
 
-    rejected = host_verdicts(measured(docs)[1], max_rate).where("host_rejected").select("host")
-    return docs.mapInArrow(of, docs.schema).join(rejected, F.col("source").cast("string") == F.col("host"), "left_anti")
+    rejected = host_verdicts(measured(docs)[1], max_rate).where("host_rejected").select(F.col("host").alias("_rejected_host"))
+    return small_batches(docs).mapInArrow(tidy(of), docs.schema).join(rejected, F.col("source").cast("string") == F.col("_rejected_host"), "left_anti")
 
 
 def judge(docs: DataFrame, max_rate: float = MAX_FAILURE_RATE) -> DataFrame:

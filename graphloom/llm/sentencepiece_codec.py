@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import clean, text_chunks
+from graphloom.llm.common import clean, memory_of, text_chunks, tidy
 
 MARK = "▁"
 WORDS = re.compile(r" *[^ \n]+| +|\n")
@@ -29,7 +29,6 @@ FINER_WORDS = re.compile(r" *[A-Za-z0-9À-ÖØ-öø-ÿ]+(?=[!-/:-@[-`{-~])| *[^
 LETTER_PUNCTUATION = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ][!-/:-@[-`{-~]")
 #: Words that a worker remembers.
 REMEMBERED = 400_000
-_state: dict = {}
 
 
 class Codec:
@@ -186,9 +185,10 @@ def decode_bytes(raw: bytes) -> str:
 
 
 def codec(path: str) -> Codec:
-    if path not in _state:
-        _state[path] = Codec(path)
-    return _state[path]
+    memory = memory_of("sentencepiece")
+    if path not in memory:
+        memory[path] = Codec(path)
+    return memory[path]
 
 
 def encode_decode(docs: DataFrame, model: str, ids: bool = False) -> DataFrame:
@@ -206,4 +206,4 @@ def encode_decode(docs: DataFrame, model: str, ids: bool = False) -> DataFrame:
                     columns["ids"] = pa.array([[int(i) for i in x.split(b",")] if x else [] for x, _ in pairs], pa.list_(pa.int32()))
                 yield pa.record_batch(columns)
 
-    return clean(docs).mapInArrow(of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return clean(docs).mapInArrow(tidy(of, "sentencepiece"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import clean, slices, text_chunks
+from graphloom.llm.common import clean, give_back, memory_of, slices, text_chunks
 from graphloom.llm.textkernel import run_starts, runs, words
 
 WINDOW = 50
 #: Compressed input bytes that make one group, and window values that make one bucket follow from it.
 GROUP_BYTES = 4 << 20
 PACKED = "bucket int, g int, n int, value_bytes binary, value_width int, id_bytes binary, id_width int, id_base long"
+#: The column by which documents are dealt out; no other may have this name.
+GROUP = "_dealt_to"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -70,7 +72,8 @@ def send(buckets: int, window: int):
     schema = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("value_bytes", pa.binary()), ("value_width", pa.int32()), ("id_bytes", pa.binary()), ("id_width", pa.int32()), ("id_base", pa.int64())])
 
     def of_group(group: pa.Table) -> pa.Table:
-        g = group.column("g")[0].as_py()
+        memory_of(None)
+        g = group.column(GROUP)[0].as_py()
         group, values, rows = group_windows(group, window)
         ids, there = ids_of(group)
         if not there.all():
@@ -83,6 +86,7 @@ def send(buckets: int, window: int):
             v, i = value[ends[bucket] : ends[bucket + 1]], least[ends[bucket] : ends[bucket + 1]]
             base = int(i.min())
             out.append({"bucket": int(bucket), "g": g, "n": len(v), "id_base": base} | dict(zip(("value_bytes", "value_width"), pack(np.diff(v, prepend=np.uint64(0))), strict=True)) | dict(zip(("id_bytes", "id_width"), pack((i - base).view(np.uint64)), strict=True)))
+        give_back()
         return pa.Table.from_pylist(out, schema=schema)
 
     return of_group
@@ -137,6 +141,7 @@ def remove(window: int, texts: bool):
             out["kept_sha256"] += [hashlib.sha256(view[x:y]).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]
             if texts:
                 out["kept_text"] += kept_texts(w, gone)
+        give_back()
         if not texts:
             out["kept_text"] = [None] * group.num_rows
         return pa.table({"doc_id": group.column("doc_id"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept_text": pa.array(out["kept_text"], pa.string())})
@@ -183,22 +188,22 @@ def replace_texts(window: int):
         if "n_chars" in group.column_names:
             n = pa.array([len(t) for t in kept.to_pylist()], pa.int64())
             group = group.set_column(group.column_names.index("n_chars"), "n_chars", n.cast(group.schema.field("n_chars").type))
-        return group.drop_columns("g")
+        return group.drop_columns(GROUP)
 
     return of_group
 
 
 def dealt(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, int]:
     parts = slices(docs, group_bytes)
-    return docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), parts
+    return docs.withColumn(GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), parts
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, without the repeated intervals of their texts; n_chars, if there, follows the text."""
     full = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce("text", F.lit(""))})
     d, parts = dealt(full, group_bytes)
-    told = d.groupBy("g").applyInArrow(send(parts, window), PACKED).groupBy("bucket").applyInArrow(meet, "g int, known binary")
-    return d.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(replace_texts(window), full.schema)
+    told = d.groupBy(GROUP).applyInArrow(send(parts, window), PACKED).groupBy("bucket").applyInArrow(meet, "g int, known binary")
+    return d.groupBy(GROUP).cogroup(told.groupBy("g")).applyInArrow(replace_texts(window), full.schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -207,5 +212,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, g
     kept_sha256 is of the kept words joined by one space; kept_text, only with texts, is the text without the removed intervals.
     """
     d, parts = dealt(clean(docs), group_bytes)
-    told = d.groupBy("g").applyInArrow(send(parts, window), PACKED).groupBy("bucket").applyInArrow(meet, "g int, known binary")
-    return d.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(remove(window, texts), RESULT)
+    told = d.groupBy(GROUP).applyInArrow(send(parts, window), PACKED).groupBy("bucket").applyInArrow(meet, "g int, known binary")
+    return d.groupBy(GROUP).cogroup(told.groupBy("g")).applyInArrow(remove(window, texts), RESULT)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import drop_at_exit, join_hot, shared_folder, stored
+from graphloom.llm.common import drop_at_exit, join_hot, shared_folder, small_batches, stored, tidy
 
 LEAST_BYTES = 100
 #: Ranges at most this far apart are read together, up to this much at once.
@@ -133,17 +133,17 @@ def reading(folder: str, gap: int, most: int):
 
 def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes the archives and returns their index, which is stored."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
+    p = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
     ids = p.where((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
     held = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
     refers = join_hot(ids, held, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    return stored(p.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(writing(folder), INDEX))
+    return stored(p.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(tidy(writing(folder)), INDEX))
 
 
 def read(index: DataFrame, folder: str, gap: int = GAP, most: int = MOST_READ) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records that the index rows name."""
     n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.sparkSession.sparkContext.defaultParallelism)
-    return index.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(reading(folder, gap, most), READ)
+    return index.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(tidy(reading(folder, gap, most)), READ)
 
 
 def archive(pages: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import clean, stored
+from graphloom.llm.common import clean, stored, tidy
 
 UNIT = 64
 #: Bytes of payload in one image at most, and bits of a stream that are looked at together.
@@ -591,7 +591,7 @@ def media_column(docs: DataFrame) -> DataFrame:
                 texts = [t.encode() for t in part.column("text").to_pylist()]
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array([store(t) for t in texts], pa.binary())})
 
-    return clean(docs).mapInArrow(of, "doc_id long, n_bytes long, media binary")
+    return clean(docs).mapInArrow(tidy(of), "doc_id long, n_bytes long, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -609,7 +609,7 @@ def features(media: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
-    return media.mapInArrow(of, RESULT)
+    return media.mapInArrow(tidy(of), RESULT)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
