@@ -25,7 +25,7 @@ from graphloom.llm.textkernel import K1, K2, U, mix, run_starts, runs, words
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 4, (3, 4, 5)
 #: Labelled documents to learn from at most: those whose ids have the smallest hash.
 MOST_LABELLED = 3000
-EPOCHS, RATE, DECAY, SCALE = 60, 0.08, 1.0, 30.0
+EPOCHS, RATE, DECAY, SCALE = 90, 0.08, 0.5, 30.0
 #: Buckets that fewer of the texts' words fall in aren't learned, as they would only recall single texts.
 FEWEST = 10
 THRESHOLD = 0.3
