@@ -198,6 +198,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     rows, bins = plan({r.length: r.n for r in of_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = of_part.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     some = pieces.where(F.col("length") < capacity).join(before, ["length", "part"]).withColumn("nth", F.col("nth") + F.col("before")).drop("before", "part")
-    packed = some.mapInArrow(tidy(place(rows)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = some.mapInArrow(tidy(place(rows), "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     full = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + bins).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
