@@ -36,7 +36,7 @@ def folder(spark: SparkSession) -> str:
 
 
 def cfg_tables(spark, d) -> tuple[DataFrame, DataFrame]:
-    blk = dv.blocks(spark, d)
+    blk = dv.blocks(spark, d, dv.SQL_USERS)
     edges = dv.cfg_edges(blk).select("fn", F.col("s").alias("src"), F.col("d").alias("ordinal"), F.col("d").alias("dst"))
     return blk.select("fn", F.col("b").alias("block"), F.col("v").alias("n_elements"), F.when(F.col("et") == "view", "StmtBranch").alias("term_kind"), (F.col("b") == 1).alias("is_entry"), (F.col("b") == F.col("n")).alias("is_exit"), F.array("et").alias("kinds")), edges
 

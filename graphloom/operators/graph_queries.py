@@ -222,43 +222,44 @@ DF = AVOID + ", fr AS (SELECT DISTINCT p.fn, p.dom AS b, e.d AS frontier FROM do
 CD = PAVOID + ", cd AS (SELECT DISTINCT e.fn, q.pdom AS b, e.s AS branch FROM e JOIN pdom q ON q.fn = e.fn AND q.b = e.d WHERE q.pdom = e.s OR NOT EXISTS (SELECT 1 FROM pdom z WHERE z.fn = e.fn AND z.pdom = q.pdom AND z.b = e.s))"
 
 
-def facts(spark, d, variant="i"):
-    return dv.cfg_facts(spark, d, variant)
+def facts(spark, d, variant="i", every=dv.SQL_USERS):
+    return dv.cfg_facts(spark, d, variant, every)
 
 
 def kernel(name, f, sql=None, variant="i"):
-    query(name, sql)(lambda spark, d: f(facts(spark, d, variant)))
+    every = dv.SQL_USERS if sql and sql.startswith((I, R)) else 1
+    query(name, sql)(lambda spark, d: f(facts(spark, d, variant, every)))
 
 
 @query("cfg_edges", I + "x AS (SELECT 1) SELECT * FROM e")
 def _(spark, d):
-    return dv.cfg_edges(dv.blocks(spark, d))
+    return dv.cfg_edges(dv.blocks(spark, d, dv.SQL_USERS))
 
 
 @query("cfg_edge_roles", I + "x AS (SELECT 1) SELECT fn, s, d, CASE WHEN d = s + 1 THEN 'next' WHEN d > s THEN 'skip' ELSE 'back' END AS role FROM e")
 def _(spark, d):
-    return dv.cfg_edges(dv.blocks(spark, d)).withColumn("role", F.when(F.col("d") == F.col("s") + 1, "next").when(F.col("d") > F.col("s"), "skip").otherwise("back"))
+    return dv.cfg_edges(dv.blocks(spark, d, dv.SQL_USERS)).withColumn("role", F.when(F.col("d") == F.col("s") + 1, "next").when(F.col("d") > F.col("s"), "skip").otherwise("back"))
 
 
 @query("cfg_entry_exit", I + "x AS (SELECT 1) SELECT fn, min(b) AS entry, max(b) AS exit, count(*) AS blocks FROM blk GROUP BY fn")
 def _(spark, d):
-    return dv.blocks(spark, d).groupBy("fn").agg(F.min("b").alias("entry"), F.max("b").alias("exit"), F.count(F.lit(1)).alias("blocks"))
+    return dv.blocks(spark, d, dv.SQL_USERS).groupBy("fn").agg(F.min("b").alias("entry"), F.max("b").alias("exit"), F.count(F.lit(1)).alias("blocks"))
 
 
 @query("cfg_element_kinds", I + "x AS (SELECT 1) SELECT et AS kind, count(*) AS n FROM blk GROUP BY et")
 def _(spark, d):
-    return dv.blocks(spark, d).groupBy(F.col("et").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return dv.blocks(spark, d, dv.SQL_USERS).groupBy(F.col("et").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("cfg_pivot_kinds", I + "x AS (SELECT 1) SELECT fn, " + ", ".join(f"count(*) FILTER (et = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM blk GROUP BY fn")
 def _(spark, d):
     kinds = ["click", "error", "purchase", "signup", "view"]
-    return dv.blocks(spark, d).groupBy("fn").pivot("et", kinds).count().na.fill(0)
+    return dv.blocks(spark, d, dv.SQL_USERS).groupBy("fn").pivot("et", kinds).count().na.fill(0)
 
 
 @query("cfg_cyclomatic", I + "x AS (SELECT 1) SELECT fn, (SELECT count(*) FROM e WHERE e.fn = y.fn) AS edges, count(*) AS blocks, (SELECT count(*) FROM e WHERE e.fn = y.fn) - count(*) + 2 AS cyclomatic FROM blk y GROUP BY fn")
 def _(spark, d):
-    blk = dv.blocks(spark, d)
+    blk = dv.blocks(spark, d, dv.SQL_USERS)
     counts = blk.select("fn", F.lit(0).alias("e"), F.lit(1).alias("b")).unionByName(dv.cfg_edges(blk).select("fn", F.lit(1).alias("e"), F.lit(0).alias("b"))).groupBy("fn").agg(F.sum("e").alias("edges"), F.sum("b").alias("blocks"))
     return counts.withColumn("cyclomatic", F.col("edges") - F.col("blocks") + 2)
 

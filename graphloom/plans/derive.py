@@ -17,6 +17,8 @@ CFG = """blk AS (SELECT user_id AS fn, row_number() OVER (PARTITION BY user_id O
 e AS (SELECT fn, b AS s, b + 1 AS d FROM blk WHERE b < n UNION {skip} SELECT fn, b, greatest(b - 4, 1) FROM blk WHERE et = 'error' AND b > 1)"""
 SKIP = "SELECT fn, b, least(b + 3, n) FROM blk WHERE et = 'view' AND b < n UNION"
 CFG_I, CFG_R = CFG.format(skip=SKIP), CFG.format(skip="")
+#: The SQL asks for users whose id this divides; what has no such SQL takes all.
+SQL_USERS = 10
 
 
 def cg_sql(quantity: int = 49) -> str:
@@ -44,10 +46,11 @@ def call_nodes(spark: SparkSession, sf_dir: str, quantity: int = 49) -> DataFram
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fn")).union(sites.select("src")).union(sites.select("dst")).distinct()
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fn, b, n, et, v)"""
+def blocks(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+    """(fn, b, n, et, v) of the users whose id is divisible by every: of all, unless SQL that asks for fewer is to be met."""
     own = Window.partitionBy("user_id")
-    rows = table(spark, sf_dir, "events").where(F.col("user_id") % 10 == 0)
+    rows = table(spark, sf_dir, "events")
+    rows = rows if every == 1 else rows.where(F.col("user_id") % every == 0)
     k = F.get_json_object("props", "$.k").cast("int") % 8
     return rows.select(F.col("user_id").alias("fn"), F.row_number().over(own.orderBy("ts")).cast("long").alias("b"), F.count(F.lit(1)).over(own).alias("n"), F.col("event_type").alias("et"), k.alias("v"))
 
@@ -61,12 +64,12 @@ def cfg_edges(blk: DataFrame, variant: str = "i") -> DataFrame:
     return blk.select("fn", F.col("b").alias("s"), F.explode(each).alias("d"))
 
 
-def cfg_facts(spark: SparkSession, sf_dir: str, variant: str = "i") -> DataFrame:
+def cfg_facts(spark: SparkSession, sf_dir: str, variant: str = "i", every: int = 1) -> DataFrame:
     """(fn, kind, a, b, x): all facts of a function in rows of one shape, so that one shuffle brings them together.
 
     kind: b block a of n = b and event type x; e edge a to b; u use of variable b in block a; d definition.
     """
-    blk = blocks(spark, sf_dir)
+    blk = blocks(spark, sf_dir, every)
     fall = F.when(F.col("b") < F.col("n"), F.col("b") + 1)
     skip = F.when((F.col("et") == "view") & (F.col("b") < F.col("n")), F.least(F.col("b") + 3, F.col("n"))) if variant == "i" else F.lit(None).cast("long")
     back = F.when((F.col("et") == "error") & (F.col("b") > 1), F.greatest(F.col("b") - 4, F.lit(1)))
