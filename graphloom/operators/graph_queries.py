@@ -16,12 +16,12 @@ BFS = "l AS (SELECT {root}::BIGINT AS fn, 0::BIGINT AS level UNION SELECT {to},
 HEIGHT = "h AS (SELECT fn, 0 AS d FROM nodes UNION SELECT p.src, CASE WHEN h.fn IN (SELECT fn FROM loops) THEN 1 ELSE d + 1 END FROM h JOIN p ON p.dst = h.fn WHERE p.src NOT IN (SELECT fn FROM loops))"
 
 
-def sites(spark, d, q=49):
+def sites(spark, d, q=dv.SQL_QUANTITY):
     return dv.call_sites(spark, d, q)
 
 
-def graph(spark, d):
-    return dv.call_nodes(spark, d), dv.call_pairs(spark, d)
+def graph(spark, d, q=dv.SQL_QUANTITY):
+    return dv.call_nodes(spark, d, q), dv.call_pairs(spark, d, q)
 
 
 @query("cg_edges_scan", G + "x AS (SELECT 1) SELECT src, dst, line, col::BIGINT AS col FROM cg")
@@ -31,7 +31,7 @@ def _(spark, d):
 
 @query("cg_pairs_distinct", G + "x AS (SELECT 1) SELECT * FROM p")
 def _(spark, d):
-    return dv.call_pairs(spark, d)
+    return dv.call_pairs(spark, d, dv.SQL_QUANTITY)
 
 
 @query("cg_parallel_fold", "WITH " + dv.cg_sql(48) + " SELECT src, dst, count(*) AS n_sites, string_agg(line || ':' || col, ',' ORDER BY line, col) AS sites FROM cg GROUP BY src, dst")
@@ -44,14 +44,14 @@ DEGREE = "dg AS (SELECT fn, (SELECT count(*) FROM p WHERE dst = fn) AS in_deg, (
 
 @query("metric_degree", G + DEGREE + " SELECT * FROM dg")
 def _(spark, d):
-    return cg.degrees(dv.call_nodes(spark, d), sites(spark, d))
+    return cg.degrees(dv.call_nodes(spark, d, dv.SQL_QUANTITY), sites(spark, d))
 
 
 METRIC = G + SCC + ", " + HEIGHT + ", " + BFS.format(root="(SELECT min(fn) FROM nodes)", to="dst", of="src") + ", " + DEGREE + ", m AS (SELECT dg.fn, in_deg, out_deg, sites, CASE WHEN dg.fn NOT IN (SELECT fn FROM loops) THEN (SELECT max(d) FROM h WHERE h.fn = dg.fn) END::BIGINT AS height, out_deg = 0 AS leaf, other_callers = 0 AS root, dg.fn IN (SELECT fn FROM loops) AS recursive, dg.fn NOT IN (SELECT fn FROM lv) AS dead FROM dg) "
 
 
 def main_of(spark, d) -> int:
-    return dv.call_nodes(spark, d).agg(F.min("fn")).first()[0]
+    return dv.call_nodes(spark, d, dv.SQL_QUANTITY).agg(F.min("fn")).first()[0]
 
 
 def inf():
@@ -60,12 +60,12 @@ def inf():
 
 @query("metric_flags", METRIC + "SELECT * REPLACE (coalesce(height::VARCHAR, 'inf') AS height) FROM m")
 def _(spark, d):
-    return cg.metrics(dv.call_nodes(spark, d), sites(spark, d), main_of(spark, d)).withColumn("height", inf())
+    return cg.metrics(dv.call_nodes(spark, d, dv.SQL_QUANTITY), sites(spark, d), main_of(spark, d)).withColumn("height", inf())
 
 
 @query("metric_totals", METRIC + "SELECT count(*) AS functions, (SELECT count(*) FROM p) AS edges, (SELECT count(*) FROM cg) AS sites, (SELECT count(DISTINCT label) FROM s) AS sccs, (SELECT count(DISTINCT label) FROM s WHERE fn IN (SELECT fn FROM loops)) AS cyclic, count(*) FILTER (dead) AS dead, count(*) FILTER (leaf) AS leaves, count(*) FILTER (root) AS roots, CASE WHEN bool_or(recursive) THEN 'inf' ELSE max(height)::VARCHAR END AS height FROM m")
 def _(spark, d):
-    n, s = dv.call_nodes(spark, d), sites(spark, d)
+    n, s = dv.call_nodes(spark, d, dv.SQL_QUANTITY), sites(spark, d)
     m = cg.metrics(n, s, main_of(spark, d)).join(cg.components(n, s).select("fn", "label", "cyclic"), "fn")
     count = lambda c: F.count(F.when(c, 1))
     return m.agg(F.count(F.lit(1)).alias("functions"), F.sum("out_deg").alias("edges"), F.sum("sites").alias("sites"), F.countDistinct("label").alias("sccs"), F.countDistinct(F.when(F.col("cyclic"), F.col("label"))).alias("cyclic"), count(F.col("dead")).alias("dead"), count(F.col("leaf")).alias("leaves"), count(F.col("root")).alias("roots"), F.when(F.max(F.col("recursive").cast("int")) == 1, "inf").otherwise(F.max("height").cast("string")).alias("height"))
@@ -73,7 +73,7 @@ def _(spark, d):
 
 @query("metric_topk_in", G + DEGREE + " SELECT fn, in_deg FROM dg ORDER BY in_deg DESC, fn LIMIT 10")
 def _(spark, d):
-    return cg.degrees(dv.call_nodes(spark, d), sites(spark, d)).select("fn", "in_deg").orderBy(F.desc("in_deg"), "fn").limit(10)
+    return cg.degrees(dv.call_nodes(spark, d, dv.SQL_QUANTITY), sites(spark, d)).select("fn", "in_deg").orderBy(F.desc("in_deg"), "fn").limit(10)
 
 
 @query("metric_topk_height", METRIC + "SELECT fn, coalesce(height::VARCHAR, 'inf') AS height FROM m ORDER BY m.height DESC NULLS FIRST, fn LIMIT 5")
@@ -98,12 +98,12 @@ def _(spark, d):
 
 @query("callers_direct", G + "x AS (SELECT 1) SELECT dst AS fn, src AS caller FROM p WHERE dst % 10 = 1")
 def _(spark, d):
-    return dv.call_pairs(spark, d).where("dst % 10 = 1").select(F.col("dst").alias("fn"), F.col("src").alias("caller"))
+    return dv.call_pairs(spark, d, dv.SQL_QUANTITY).where("dst % 10 = 1").select(F.col("dst").alias("fn"), F.col("src").alias("caller"))
 
 
 @query("callees_distinct", G + "x AS (SELECT 1) SELECT src AS fn, count(*) AS callees, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS names FROM p GROUP BY src")
 def _(spark, d):
-    return dv.call_pairs(spark, d).groupBy(F.col("src").alias("fn")).agg(F.count(F.lit(1)).alias("callees"), F.array_join(F.transform(F.array_sort(F.collect_list("dst")), lambda x: x.cast("string")), ",").alias("names"))
+    return dv.call_pairs(spark, d, dv.SQL_QUANTITY).groupBy(F.col("src").alias("fn")).agg(F.count(F.lit(1)).alias("callees"), F.array_join(F.transform(F.array_sort(F.collect_list("dst")), lambda x: x.cast("string")), ",").alias("names"))
 
 
 @query("callers_transitive", G + CLOSURE + " SELECT dst AS fn, src AS caller FROM c WHERE dst % 10 = 1")
@@ -181,30 +181,30 @@ PATHS = G + "w AS (SELECT 0::BIGINT AS z, [0::BIGINT] AS path UNION ALL SELECT p
 
 @query("simple_paths_bounded", PATHS.format(to=9) + " SELECT * FROM f")
 def _(spark, d):
-    return cg.simple_paths(dv.call_pairs(spark, d), 0, 9, 8)
+    return cg.simple_paths(dv.call_pairs(spark, d, dv.SQL_QUANTITY), 0, 9, 8)
 
 
 @query("simple_paths_topk", PATHS.format(to=9) + " SELECT len, path, (SELECT count(*) FROM f) AS total FROM f ORDER BY len, path LIMIT 5")
 def _(spark, d):
-    found = cg.simple_paths(dv.call_pairs(spark, d), 0, 9, 8)
+    found = cg.simple_paths(dv.call_pairs(spark, d, dv.SQL_QUANTITY), 0, 9, 8)
     return found.orderBy("len", "path").limit(5).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))
 
 
 @query("cg_orders")
 def _(spark, d):
-    return cg.orders(dv.call_nodes(spark, d), sites(spark, d))
+    return cg.orders(dv.call_nodes(spark, d), dv.call_sites(spark, d))
 
 
 @query("cg_back_edges")
 def _(spark, d):
-    return cg.back_edges(dv.call_nodes(spark, d), sites(spark, d))
+    return cg.back_edges(dv.call_nodes(spark, d), dv.call_sites(spark, d))
 
 
 @query("cg_back_edges_invariant", "SELECT 0::BIGINT AS violations")
 def _(spark, d):
     """Without its back edges the graph has no cycle (an invariant, not a comparison of results)."""
-    n, p = graph(spark, d)
-    rest = p.join(cg.back_edges(n, sites(spark, d)), ["src", "dst"], "left_anti")
+    n, p = graph(spark, d, None)
+    rest = p.join(cg.back_edges(n, dv.call_sites(spark, d)), ["src", "dst"], "left_anti")
     return cg.components(n, rest).agg(F.count(F.when(F.col("cyclic"), 1)).alias("violations"))
 
 

@@ -13,8 +13,8 @@ from graphloom.registry import query
 SINKS = "(SELECT fn FROM nodes WHERE fn % 17 = 5)"
 
 
-def sinks(spark, d):
-    return [r.fn for r in dv.call_nodes(spark, d).where("fn % 17 = 5").limit(10_000).collect()]
+def sinks(spark, d, q=dv.SQL_QUANTITY):
+    return [r.fn for r in dv.call_nodes(spark, d, q).where("fn % 17 = 5").limit(10_000).collect()]
 
 
 @query("sink_may", G + "r AS (SELECT fn FROM " + SINKS + " UNION SELECT src FROM r JOIN p ON dst = fn) SELECT * FROM r")
@@ -31,8 +31,8 @@ def _(spark, d):
 
 @query("sink_levels")
 def _(spark, d):
-    n, p = graph(spark, d)
-    return ip.sink_levels(n, p, sinks(spark, d))
+    n, p = graph(spark, d, None)
+    return ip.sink_levels(n, p, sinks(spark, d, None))
 
 
 @query("sink_shortest_len", G + "l AS (SELECT fn, 0::BIGINT AS level FROM " + SINKS + " UNION SELECT src, level + 1 FROM l JOIN p ON p.dst = l.fn WHERE level < (SELECT count(*) FROM nodes)) SELECT fn, min(level) AS level FROM l GROUP BY fn")
@@ -48,7 +48,7 @@ def ctx(k: int):
 
     @query(f"ctx_k{k}", sql)
     def _(spark, d):
-        n, s = dv.call_nodes(spark, d), sites(spark, d)
+        n, s = dv.call_nodes(spark, d, dv.SQL_QUANTITY), sites(spark, d)
         entries = n.join(s.select(F.col("dst").alias("fn")), "fn", "left_anti")
         return ip.contexts(n, s, entries, k).select("fn", F.array_join("string", " ").alias("string"), "value")
 

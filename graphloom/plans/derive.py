@@ -17,8 +17,8 @@ CFG = """blk AS (SELECT user_id AS fn, row_number() OVER (PARTITION BY user_id O
 e AS (SELECT fn, b AS s, b + 1 AS d FROM blk WHERE b < n UNION {skip} SELECT fn, b, greatest(b - 4, 1) FROM blk WHERE et = 'error' AND b > 1)"""
 SKIP = "SELECT fn, b, least(b + 3, n) FROM blk WHERE et = 'view' AND b < n UNION"
 CFG_I, CFG_R = CFG.format(skip=SKIP), CFG.format(skip="")
-#: The SQL asks for users whose id this divides; what has no such SQL takes all.
-SQL_USERS = 10
+#: The SQL asks for users whose id this divides and for call sites from this quantity (and a discount of 0.1); what has no such SQL takes all.
+SQL_USERS, SQL_QUANTITY = 10, 49
 
 
 def cg_sql(quantity: int = 49) -> str:
@@ -29,18 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def call_sites(spark: SparkSession, sf_dir: str, quantity: int = 49) -> DataFrame:
-    """(src, dst, line, col)"""
+def call_sites(spark: SparkSession, sf_dir: str, quantity: int | None = None) -> DataFrame:
+    """(src, dst, line, col) of all rows; with a quantity, only of those that SQL with it asks for."""
     n = table(spark, sf_dir, "supplier").count()
-    sites = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= 0.1))
+    sites = table(spark, sf_dir, "lineitem")
+    sites = sites if quantity is None else sites.where((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= 0.1))
     return sites.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").cast("long").alias("col"))
 
 
-def call_pairs(spark: SparkSession, sf_dir: str, quantity: int = 49) -> DataFrame:
+def call_pairs(spark: SparkSession, sf_dir: str, quantity: int | None = None) -> DataFrame:
     return call_sites(spark, sf_dir, quantity).select("src", "dst").distinct()
 
 
-def call_nodes(spark: SparkSession, sf_dir: str, quantity: int = 49) -> DataFrame:
+def call_nodes(spark: SparkSession, sf_dir: str, quantity: int | None = None) -> DataFrame:
     """(fn)"""
     sites = call_sites(spark, sf_dir, quantity)
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fn")).union(sites.select("src")).union(sites.select("dst")).distinct()

@@ -27,3 +27,36 @@ def test_operators_on_all_users(spark, duck, name, operator):
     assert sql.count(own) == 1
     theirs = duck.sql(sql.replace(own, ""))
     assert collected(operator(dv.cfg_facts(spark, SF))) == rows_of(theirs.columns, theirs.fetchall())
+
+
+def test_all_calls(spark):
+    """Orders, back edges and sinks of the graph of all rows, against plain Python."""
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_suppkey a", "l_partkey b", "l_orderkey line", "l_linenumber col").collect()
+    n = spark.read.parquet(f"{SF}/supplier.parquet").count()
+    calls = sorted((r.a, r.b % n, r.line, r.col) for r in li)
+    assert len(calls) == dv.call_sites(spark, SF).count() == 6000
+    g = {f: list(dict.fromkeys(b for a, b, *_ in calls if a == f)) for f in sorted({x for a, b, *_ in calls for x in (a, b)})}
+    pre, post, back, open_ = [], [], set(), set()
+
+    def visit(f):
+        pre.append(f)
+        open_.add(f)
+        for b in g[f]:
+            if b in open_:
+                back.add((f, b))
+            elif b not in pre:
+                visit(b)
+        open_.discard(f)
+        post.append(f)
+
+    for f in g:
+        if f not in pre:
+            visit(f)
+    q = registry.queries()
+    assert {tuple(r) for r in q["cg_orders"](spark, SF).collect()} == {(f, pre.index(f), post.index(f), len(post) - 1 - post.index(f)) for f in g}
+    assert {tuple(r) for r in q["cg_back_edges"](spark, SF).collect()} == back
+    may = always = {f for f in g if f % 17 == 5}
+    for _ in g:
+        may = may | {f for f in g if may & set(g[f])}
+        always = always | {f for f in g if any(b % 2 for b in always & set(g[f]))}
+    assert {(r.fn, r.level) for r in q["sink_levels"](spark, SF).collect()} == {(f, "always" if f in always else "may" if f in may else "none") for f in g}
