@@ -1,8 +1,8 @@
 """Near-duplicate components by HyperMinHash signatures, banding and exact confirmation.
 
-A document is its set of distinct runs of three words. Registers: each of REGISTERS hash functions keeps the smallest value of the
+A document is its set of distinct runs of some words, three unless asked otherwise. Registers: each of REGISTERS hash functions keeps the smallest value of the
 set, and of it the number of leading zeros and the MANTISSA bits that follow. Equal sets are one class, for which its smallest document
-stands. Bands of ROWS compressed registers put classes into buckets; the share of equal registers, less what unequal sets
+stands. Bands of some compressed registers put classes into buckets; the share of equal registers, less what unequal sets
 agree on by chance, estimates the similarity; pairs that pass are confirmed on the full sets.
 
 A bucket is never expanded into its pairs. First each member is compared with the bucket's smallest (a star). After the components of
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import clean, components, join_hot, stored, text_chunks, tidy
 from graphloom.llm.textkernel import RADIX, U, mix, shingles, words
 
-REGISTERS, ROWS, MANTISSA = 168, 6, 10
-BANDS = REGISTERS // ROWS
+REGISTERS, MANTISSA = 168, 10
+#: Chance below which no band may admit a pair at the threshold.
+MISSED = 4e-5
 WIDTH, PERCENT = 3, 85
 #: Standard deviations of the estimate that a pair may fall short of the threshold by and still be confirmed exactly.
 DEVIATIONS = 4
@@ -59,10 +60,16 @@ def registers(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return compress(out)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    parts = regs.reshape(len(regs), BANDS, ROWS).astype(U)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), parts.shape[:2]).copy()
-    for k in range(ROWS):
+def band_rows(percent: int) -> int:
+    """Registers of a band: as many as still admit a pair at the threshold, which makes buckets small."""
+    return max(r for r in range(1, REGISTERS) if REGISTERS % r == 0 and (r == 1 or (1 - (percent / 100) ** r) ** (REGISTERS // r) < MISSED))
+
+
+def band_keys(regs: np.ndarray, size: int) -> np.ndarray:
+    n = REGISTERS // size
+    parts = regs.reshape(len(regs), n, size).astype(U)
+    key = np.broadcast_to(np.arange(1, n + 1, dtype=U), parts.shape[:2]).copy()
+    for k in range(size):
         key = key * RADIX + parts[:, :, k] + U(1)
     return mix(key).view(np.int64)
 
@@ -82,48 +89,60 @@ def least_estimate(percent: int) -> float:
     return t - DEVIATIONS * (t * (1 - t) / REGISTERS) ** 0.5
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in text_chunks(batch):
-            part = batch.slice(a, b - a)
-            values, at = shingles(words(part.column("text"), lower=True), WIDTH)
-            owner = np.repeat(np.arange(b - a), np.diff(at))
-            order = np.lexsort((values, owner))
-            values, owner = values[order], owner[order]
-            fresh = np.ones(len(values), dtype=bool)
-            fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-            values = values[fresh]
-            n = np.bincount(owner[fresh], minlength=b - a)
-            at = np.concatenate([[0], np.cumsum(n)])
-            full = np.flatnonzero(n)
-            keys, regs = [None] * (b - a), [None] * (b - a)
-            if len(full):
-                begins = np.append(at[full], len(values))
-                both = np.stack([np.add.reduceat(mix(values), begins[:-1]), np.add.reduceat(mix(values * RADIX), begins[:-1])], axis=1)
-                rows = registers(values, begins)
-                for k, i in enumerate(full):
-                    keys[i], regs[i] = both[k].tobytes(), rows[k].tobytes()
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "set_key": pa.array(keys, pa.binary()), "registers": pa.array(regs, pa.binary())})
+def signatures(width: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_chunks(batch):
+                part = batch.slice(a, b - a)
+                values, at = shingles(words(part.column("text"), lower=True), width)
+                owner = np.repeat(np.arange(b - a), np.diff(at))
+                order = np.lexsort((values, owner))
+                values, owner = values[order], owner[order]
+                fresh = np.ones(len(values), dtype=bool)
+                fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+                values = values[fresh]
+                n = np.bincount(owner[fresh], minlength=b - a)
+                at = np.concatenate([[0], np.cumsum(n)])
+                full = np.flatnonzero(n)
+                keys, regs = [None] * (b - a), [None] * (b - a)
+                if len(full):
+                    begins = np.append(at[full], len(values))
+                    both = np.stack([np.add.reduceat(mix(values), begins[:-1]), np.add.reduceat(mix(values * RADIX), begins[:-1])], axis=1)
+                    rows = registers(values, begins)
+                    for k, i in enumerate(full):
+                        keys[i], regs[i] = both[k].tobytes(), rows[k].tobytes()
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "set_key": pa.array(keys, pa.binary()), "registers": pa.array(regs, pa.binary())})
+
+    return of
 
 
 def as_registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
 
 
-def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            keys = band_keys(as_registers(batch.column("registers")))
-            yield pa.record_batch({"band": pa.array(keys.ravel()), "doc": pa.array(np.repeat(np.asarray(batch.column("doc_id")), BANDS)), "n": pa.array(np.repeat(np.asarray(batch.column("n")), BANDS))})
+def bands(size: int):
+    n = REGISTERS // size
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(as_registers(batch.column("registers")), size)
+                yield pa.record_batch({"band": pa.array(keys.ravel()), "doc": pa.array(np.repeat(np.asarray(batch.column("doc_id")), n)), "n": pa.array(np.repeat(np.asarray(batch.column("n")), n))})
 
-def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return of
+
+
+def sets(width: int):
     """The full sets, as sorted values."""
-    for batch in batches:
-        for a, b in text_chunks(batch):
-            part = batch.slice(a, b - a)
-            values, at = shingles(words(part.column("text"), lower=True), WIDTH)
-            yield pa.record_batch({"doc": part.column("doc_id"), "members": pa.array([np.unique(values[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_chunks(batch):
+                part = batch.slice(a, b - a)
+                values, at = shingles(words(part.column("text"), lower=True), width)
+                yield pa.record_batch({"doc": part.column("doc_id"), "members": pa.array([np.unique(values[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+
+    return of
 
 
 def promising(percent: int):
@@ -155,19 +174,19 @@ def linked(percent: int):
 
 def worth_asking(percent: int):
     """Of a block of a bucket, by registers: the members of pairs that pass, lie in different components and hold one member that asks. A pair counts in the first band that holds both."""
-    least = least_estimate(percent)
+    least, size = least_estimate(percent), band_rows(percent)
 
     def of(block: pa.Table) -> pa.Table:
         regs, ids, roots = as_registers(block.column("registers").combine_chunks()), *(np.asarray(block.column(c)) for c in ("doc", "root"))
         n, asks, band = np.asarray(block.column("n"), dtype=np.float64), np.asarray(block.column("asks")), block.column("band")[0].as_py()
-        here = int(np.flatnonzero(band_keys(regs[:1])[0] == band)[0])
+        here = int(np.flatnonzero(band_keys(regs[:1], size)[0] == band)[0])
         keep = np.zeros(len(ids), dtype=bool)
         for i in np.flatnonzero(asks):
             fits = np.flatnonzero((roots != roots[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             equal = regs[fits] == regs[i]
             good = estimate(equal.sum(axis=1), n[i], n[fits]) >= least
             if here:
-                good &= ~equal[:, : here * ROWS].reshape(len(fits), here, ROWS).all(axis=2).any(axis=1)
+                good &= ~equal[:, : here * size].reshape(len(fits), here, size).all(axis=2).any(axis=1)
             keep[fits[good]] = True
             keep[i] |= good.any()
         return block.select(["band", "block", "other", "doc", "root", "asks"]).filter(pa.array(keep))
@@ -207,19 +226,19 @@ def confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "a_members", "b_members").mapInArrow(tidy(linked(percent)), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): component_id is the smallest document that links reach, and it is the one kept."""
     d = clean(docs)
-    signed = stored(d.mapInArrow(tidy(signatures), "doc_id long, n_shingles long, set_key binary, registers binary"))
+    signed = stored(d.mapInArrow(tidy(signatures(width)), "doc_id long, n_shingles long, set_key binary, registers binary"))
     nodes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = nodes.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = stored(join_hot(nodes.select("doc_id", "set_key"), classes, "set_key").select("doc_id", "rep").distinct())
     regs = stored(nodes.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.col("n_shingles").alias("n"), "registers"))
 
-    rows = regs.mapInArrow(tidy(bands), "band long, doc long, n long")
+    rows = regs.mapInArrow(tidy(bands(band_rows(percent))), "band long, doc long, n long")
     buckets = rows.groupBy("band").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1").drop("size")
     hits = stored(join_hot(rows, buckets, "band"))
-    members = stored(d.join(hits.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(tidy(sets), "doc long, members binary").dropDuplicates(["doc"]))
+    members = stored(d.join(hits.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(tidy(sets(width)), "doc long, members binary").dropDuplicates(["doc"]))
 
     def signed_as(side: str) -> DataFrame:
         return regs.select(F.col("doc_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("registers").alias(f"{side}_registers"))
@@ -249,8 +268,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The rows of docs, with all their columns, of which one of each component stays. Rows without doc_id stay."""
-    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, percent, width=width).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
     known = docs.where("doc_id IS NOT NULL")
     return known.join(kept, known["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

@@ -136,6 +136,27 @@ def test_near_duplicate_chains_in_blocks(spark):
         assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, block=block).collect()} == root
 
 
+def test_near_duplicates_by_five_words(spark):
+    """Copies with a contiguous run of other words, of which some are linked by runs of five words and 0.8 and not by three and 0.85."""
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for g in range(12):
+        ws = [f"g{g}{w}" for w in base]
+        rows += [(10 * g + k, " ".join(ws[:40] + [f"x{g}_{k}_{j}" for j in range(n)] + ws[40:])) for k, n in enumerate((0, g + 8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def root(width, percent):
+        sets = {d: {tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)} for d, t in rows for ws in [t.split()]}
+        return {d: d - d % 10 if 100 * len(s & sets[d - d % 10]) >= percent * len(s | sets[d - d % 10]) else d for d, s in sets.items()}
+
+    assert root(5, 80) != root(3, 85) != {d: d for d, _ in rows} and len(set(root(5, 80).values())) > 12
+    for width, percent in ((5, 80), (3, 85)):
+        got = minhash_dedup.near_duplicates(docs, percent, width=width).collect()
+        assert {r.doc_id: r.component_id for r in got} == root(width, percent)
+        assert {r.doc_id for r in minhash_dedup.keep_one(docs, percent, width).collect()} == set(root(width, percent).values())
+    assert (minhash_dedup.band_rows(85), minhash_dedup.band_rows(80)) == (6, 4)
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]
