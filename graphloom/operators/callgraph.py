@@ -28,12 +28,12 @@ def degrees(nodes: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.groupBy("fn").agg(F.sum("i").alias("in_deg"), F.sum("o").alias("out_deg"), F.sum("s").alias("sites"), F.sum("x").alias("other_callers"))
 
 
-def reach(nodes: DataFrame, edges: DataFrame, roots: list[int], backwards: bool = False, small: bool | None = None) -> DataFrame:
+def reach(nodes: DataFrame, edges: DataFrame, roots: DataFrame | list[int], backwards: bool = False, small: bool | None = None) -> DataFrame:
     """(fn, level) of what the roots reach, themselves at 0."""
     e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backwards else edges.select("src", "dst")
     if fx.is_small(e) if small is None else small:
-        return fx.on_whole(nodes, e, lambda ns, es: list(dg.levels(dg.graph(ns, es), [r for r in roots if r in set(ns)]).items()), "fn long, level long")
-    return fx.levels(e, nodes.where(F.col("fn").isin(roots)))
+        return fx.on_whole(nodes, e, lambda ns, es, own: list(dg.levels(dg.graph(ns, es), sorted(own)).items()), "fn long, level long", fx.chosen(nodes, roots))
+    return fx.levels(e, fx.chosen(nodes, roots))
 
 
 def closure(nodes: DataFrame, edges: DataFrame, small: bool | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ class TooManyContexts(Exception):
     pass
 
 
-def sink_levels(nodes: DataFrame, edges: DataFrame, sinks: list[int], guarded_every: int = 2) -> DataFrame:
+def sink_levels(nodes: DataFrame, edges: DataFrame, sinks: DataFrame | list[int], guarded_every: int = 2) -> DataFrame:
     """(fn, level, iter): none, may or always end in a sink, bottom-up by components; iter is the passes that a component took.
 
     A function may reach a sink if a callee does. It always does if it is a sink, or if one of its calls that isn't guarded (here: whose callee's
@@ -25,13 +25,13 @@ def sink_levels(nodes: DataFrame, edges: DataFrame, sinks: list[int], guarded_ev
     the pass before.
     """
 
-    def whole(ns: list, es: list) -> list[tuple]:
+    def whole(ns: list, es: list, ends: set) -> list[tuple]:
         g = dg.graph(ns, es)
         level: dict = dict.fromkeys(g, 0)
         out = []
 
         def step(n) -> int:
-            if n in sinks:
+            if n in ends:
                 return 2
             below = [(level[b], b % guarded_every == 0) for b in g[n]]
             return 2 if any(v == 2 and not guard for v, guard in below) else int(any(v for v, _ in below))
@@ -48,7 +48,7 @@ def sink_levels(nodes: DataFrame, edges: DataFrame, sinks: list[int], guarded_ev
             out += [(m, LEVELS[level[m]], passes) for m in members]
         return out
 
-    return fx.on_whole(nodes, edges.select("src", "dst").distinct(), whole, "fn long, level string, iter long")
+    return fx.on_whole(nodes, edges.select("src", "dst").distinct(), whole, "fn long, level string, iter long", fx.chosen(nodes, sinks))
 
 
 def contexts(nodes: DataFrame, sites: DataFrame, entries: DataFrame, k: int, limit: int = MAX_CONTEXTS) -> DataFrame:

@@ -13,32 +13,32 @@ from graphloom.registry import query
 SINKS = "(SELECT fn FROM nodes WHERE fn % 17 = 5)"
 
 
-def sinks(spark, d, q=dv.SQL_QUANTITY):
-    return [r.fn for r in dv.call_nodes(spark, d, q).where("fn % 17 = 5").limit(10_000).collect()]
+def sinks(nodes):
+    return nodes.where("fn % 17 = 5")
 
 
 @query("sink_may", G + "r AS (SELECT fn FROM " + SINKS + " UNION SELECT src FROM r JOIN p ON dst = fn) SELECT * FROM r")
 def _(spark, d):
     n, p = graph(spark, d)
-    return ip.sink_levels(n, p, sinks(spark, d)).where("level <> 'none'").select("fn")
+    return ip.sink_levels(n, p, sinks(n)).where("level <> 'none'").select("fn")
 
 
 @query("sink_always", G + "r AS (SELECT fn FROM " + SINKS + " UNION SELECT src FROM r JOIN p ON dst = fn AND dst % 2 <> 0) SELECT * FROM r")
 def _(spark, d):
     n, p = graph(spark, d)
-    return ip.sink_levels(n, p, sinks(spark, d)).where("level = 'always'").select("fn")
+    return ip.sink_levels(n, p, sinks(n)).where("level = 'always'").select("fn")
 
 
 @query("sink_levels")
 def _(spark, d):
     n, p = graph(spark, d, None)
-    return ip.sink_levels(n, p, sinks(spark, d, None))
+    return ip.sink_levels(n, p, sinks(n))
 
 
 @query("sink_shortest_len", G + "l AS (SELECT fn, 0::BIGINT AS level FROM " + SINKS + " UNION SELECT src, level + 1 FROM l JOIN p ON p.dst = l.fn WHERE level < (SELECT count(*) FROM nodes)) SELECT fn, min(level) AS level FROM l GROUP BY fn")
 def _(spark, d):
     n, p = graph(spark, d)
-    return cg.reach(n, p, sinks(spark, d), backwards=True)
+    return cg.reach(n, p, sinks(n), backwards=True)
 
 
 def ctx(k: int):

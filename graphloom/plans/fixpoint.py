@@ -50,16 +50,25 @@ def is_small(edges: DataFrame, limit: int = WHOLE) -> bool:
     return edges.limit(limit + 1).count() <= limit
 
 
-def on_whole(nodes: DataFrame, edges: DataFrame, kernel: Callable[[list, list], list[tuple]], schema: str) -> DataFrame:
-    """kernel(nodes, edges) gives rows. nodes: (fn); edges: (src, dst, ...), taken in the order of all their columns. For graphs of checked size only."""
+def chosen(nodes: DataFrame, some: DataFrame | list[int]) -> DataFrame:
+    """(fn) of the nodes that are among some: a DataFrame with fn, of any size, or a list."""
+    return nodes.where(F.col("fn").isin(some)) if isinstance(some, list) else nodes.join(some.select("fn"), "fn", "left_semi")
+
+
+def on_whole(nodes: DataFrame, edges: DataFrame, kernel: Callable[..., list[tuple]], schema: str, marked: DataFrame | None = None) -> DataFrame:
+    """kernel(nodes, edges) gives rows, with marked (fn), some of the nodes, kernel(nodes, edges, marked). nodes: (fn); edges: (src, dst, ...), taken in the order of all their columns. For graphs of checked size only."""
     names = [c.split()[0] for c in schema.split(", ")]
     columns = edges.columns
-    rows = edges.select(F.lit(0).alias("all"), *columns).unionByName(nodes.select(F.lit(0).alias("all"), F.col("fn").alias("src")), allowMissingColumns=True)
+    own, plain = nodes.select("fn", F.lit(False).alias("mark")), marked is None
+    if not plain:
+        own = own.unionByName(marked.select("fn", F.lit(True).alias("mark"))).groupBy("fn").agg(F.bool_or("mark").alias("mark"))
+    rows = edges.select(F.lit(0).alias("all"), *columns).unionByName(own.select(F.lit(0).alias("all"), F.col("fn").alias("src"), "mark"), allowMissingColumns=True)
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         lone = pdf.dst.isna()
         e = pdf[~lone].sort_values(columns)
-        return pd.DataFrame(kernel(sorted(int(x) for x in pdf[lone].src), [tuple(int(x) for x in r) for r in e[columns].itertuples(index=False)]), columns=names)
+        marks = [] if plain else [{int(x) for x in pdf[lone & pdf["mark"].eq(True)].src}]
+        return pd.DataFrame(kernel(sorted(int(x) for x in pdf[lone].src), [tuple(int(x) for x in r) for r in e[columns].itertuples(index=False)], *marks), columns=names)
 
     return rows.groupBy("all").applyInPandas(of, schema)
 

@@ -4,7 +4,9 @@ import pytest
 from conftest import DATA, rows_of
 
 from graphloom import registry
-from graphloom.operators import cfg
+from graphloom.operators import callgraph as cg
+from graphloom.operators import cfg, interproc_queries
+from graphloom.operators import interproc as ip
 from graphloom.plans import derive as dv
 
 SF = f"{DATA}/sf0.001"
@@ -60,3 +62,15 @@ def test_all_calls(spark):
         may = may | {f for f in g if may & set(g[f])}
         always = always | {f for f in g if any(b % 2 for b in always & set(g[f]))}
     assert {(r.fn, r.level) for r in q["sink_levels"](spark, SF).collect()} == {(f, "always" if f in always else "may" if f in may else "none") for f in g}
+
+
+def test_more_sinks_than_ten_thousand(spark):
+    """Each sink has one caller; all of them count, with none brought to the driver."""
+    n = 12_000
+    nodes = spark.range(17 * n).where("id % 17 < 7 AND id % 17 > 4").withColumnRenamed("id", "fn")
+    edges = nodes.where("fn % 17 = 6").selectExpr("fn AS src", "fn - 1 AS dst")
+    sinks = interproc_queries.sinks(nodes)
+    assert sinks.count() == n
+    assert ip.sink_levels(nodes, edges, sinks, guarded_every=17 * n).groupBy("level").count().collect() == [("always", 2 * n)]
+    for small in (True, False):
+        assert sorted(tuple(r) for r in cg.reach(nodes, edges, sinks, backwards=True, small=small).groupBy("level").count().collect()) == [(0, n), (1, n)]
