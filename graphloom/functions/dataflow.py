@@ -51,12 +51,13 @@ class Worklist:
         return n
 
 
-def solve(g: Graph, root, gen: dict, kill: dict, forward: bool, boundary: int = 0, strategy: str = "rpo", max_visits: int = MAX_VISITS) -> tuple[dict, dict, int]:
-    """The least solution of in = union of the outs before, out = gen | in & ~kill, and how many blocks were visited."""
+def solve(g: Graph, root, gen: dict, kill: dict, forward: bool, boundary: int = 0, strategy: str = "rpo", max_visits: int | None = None) -> tuple[dict, dict, int]:
+    """The least solution of in = union of the outs before, out = gen | in & ~kill, and how many blocks were visited. It always ends, so a budget is only kept if one is given."""
     before = reverse(g)
     into, onto = (before, g) if forward else (g, before)
     rpo = reverse_post_order(g, [root])
-    rpo += [n for n in g if n not in set(rpo)]
+    reached = set(rpo)
+    rpo += [n for n in g if n not in reached]
     order = rpo
     if strategy == "po" or strategy in ("fifo", "lifo", "rpo", "fifo-r") and not forward:
         order = rpo[::-1]
@@ -64,7 +65,9 @@ def solve(g: Graph, root, gen: dict, kill: dict, forward: bool, boundary: int =
         nested = weak_order(g, root)
         if nested is None:
             raise ValueError("no weak topological order: the graph is irreducible")
-        order = flat(nested) + [n for n in g if n not in set(flat(nested))]
+        order = flat(nested)
+        ordered = set(order)
+        order += [n for n in g if n not in ordered]
     if strategy == "fifo-r":
         order = order[::-1]
     entry = {n: 0 for n in g}
@@ -75,7 +78,7 @@ def solve(g: Graph, root, gen: dict, kill: dict, forward: bool, boundary: int =
     while work.held:
         n = work.take()
         visits += 1
-        if visits > max_visits:
+        if max_visits is not None and visits > max_visits:
             raise TooManyVisits(visits)
         state = boundary if (n == root if forward else not g[n]) else 0
         for p in into[n]:
@@ -151,7 +154,7 @@ class Cost:
     widens: int = 0
 
 
-def fixpoint(g: Graph, root, start: dict, transfer: Callable, join: Callable, widen: Callable | None = None, on_edge: Callable = lambda s, a, b: s, max_visits: int = MAX_VISITS) -> tuple[dict, dict, Cost]:
+def fixpoint(g: Graph, root, start: dict, transfer: Callable, join: Callable, widen: Callable | None = None, on_edge: Callable = lambda s, a, b: s, max_visits: int | None = MAX_VISITS) -> tuple[dict, dict, Cost]:
     """States before and behind each reached block, visited by reverse post-order. A block with an edge back to it widens against its former state."""
     order = reverse_post_order(g, [root])
     rank = {n: k for k, n in enumerate(order)}
@@ -163,7 +166,7 @@ def fixpoint(g: Graph, root, start: dict, transfer: Callable, join: Callable, wi
         _, n = heapq.heappop(heap)
         held.discard(n)
         cost.visits += 1
-        if cost.visits > max_visits:
+        if max_visits is not None and cost.visits > max_visits:
             raise TooManyVisits(cost.visits)
         state = dict(start) if n == root else None
         for p in before_of[n]:

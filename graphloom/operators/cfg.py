@@ -47,6 +47,21 @@ def each(facts: DataFrame, f: Callable[[Function], list[tuple]], schema: str) ->
     return per_function(facts, lambda fn, pdf: [(fn, *r) for r in f(Function(pdf))], f"fn long, {schema}")
 
 
+def within_budget(f: Callable[[Function], list[tuple]], status: tuple) -> Callable[[Function], list[tuple]]:
+    """What f gives; for a function that takes more visits than the budget, one row of status, at block 0 and variable -1, which no function has."""
+
+    def of(function: Function) -> list[tuple]:
+        try:
+            return f(function)
+        except df.TooManyVisits:
+            return [(0, -1, *status)]
+
+    return of
+
+
+MAX_VISITS = "error:max-visits"
+
+
 def dom_pairs(facts: DataFrame) -> DataFrame:
     return each(facts, lambda f: [(d, b) for b, ds in f.dominators().items() for d in ds], "dom long, b long")
 
@@ -295,31 +310,31 @@ def instructions(f: Function) -> dict[int, list[tuple]]:
 
 
 def constants(facts: DataFrame) -> DataFrame:
-    """What each variable holds at a block's beginning, if it is one number on all ways."""
+    """What each variable holds at a block's beginning, if it is one number on all ways. Kind error:max-visits: the budget of visits was not enough."""
 
     def of(f: Function) -> list[tuple]:
         code = instructions(f)
         before, _, _ = df.fixpoint(f.g, f.entry, {}, lambda b, s: df.run_constants(s, code.get(b, [])), df.join_constants)
         return [(b, v, "const" if x != df.TOP else "top", x if x != df.TOP else 0) for b, s in before.items() for v, x in s.items() if x is not None]
 
-    return each(facts, of, "b long, v long, kind string, value long")
+    return each(facts, within_budget(of, (MAX_VISITS, 0)), "b long, v long, kind string, value long")
 
 
 def intervals(facts: DataFrame) -> DataFrame:
-    """Bounds of each variable at a block's beginning, widened at loops; a null bound is infinite."""
+    """Bounds of each variable at a block's beginning, widened at loops; a null bound is infinite. Status is ok, or error:max-visits where the budget of visits was not enough."""
 
     def of(f: Function) -> list[tuple]:
         code = instructions(f)
         join = lambda a, b: df.ANY if a is None or b is None else a.join(b)
         widen = lambda a, b: b if a is None else a.widen(b)
         before, _, cost = df.fixpoint(f.g, f.entry, {}, lambda b, s: df.run_intervals(s, code.get(b, [])), join, widen)
-        return [(b, v, None if x.lo is None else float(x.lo), None if x.hi is None else float(x.hi), cost.widens) for b, s in before.items() for v, x in s.items()]
+        return [(b, v, None if x.lo is None else float(x.lo), None if x.hi is None else float(x.hi), cost.widens, "ok") for b, s in before.items() for v, x in s.items()]
 
-    return each(facts, of, "b long, v long, lo double, hi double, widens long")
+    return each(facts, within_budget(of, (None, None, 0, MAX_VISITS)), "b long, v long, lo double, hi double, widens long, status string")
 
 
 def taint(facts: DataFrame) -> DataFrame:
-    """Variables set by signup are tainted, purchase cleans them; what a block that clicks may see of each."""
+    """Variables set by signup are tainted, purchase cleans them; what a block that clicks may see of each. Verdict error:max-visits: the budget of visits was not enough."""
 
     def of(f: Function) -> list[tuple]:
         def step(b: int, s: dict) -> dict:
@@ -332,7 +347,7 @@ def taint(facts: DataFrame) -> DataFrame:
         before, _, _ = df.fixpoint(f.g, f.entry, {}, step, join)
         return [(b, v, before[b].get(v, "clean")) for b in before if f.kind[b] == "click" for v, _ in f.events.get(b, [])]
 
-    return each(facts, of, "b long, v long, verdict string")
+    return each(facts, within_budget(of, (MAX_VISITS,)), "b long, v long, verdict string")
 
 
 def shape(facts: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ def moves(facts_: DataFrame) -> DataFrame:
         moved, kept = doing(f, "purchase"), doing(f, "signup")
         may = some_way(f, moved, kept, 0)
         may_not = some_way(f, kept, moved, sum(f.bit.values()))
-        return [(b, v, "possible" if may_not[b] & f.bit[v] else "certain") for b, used in doing(f, "click").items() if b in dg.levels(f.g, [f.entry]) for v in f.names(used & may[b])]
+        live = dg.levels(f.g, [f.entry])
+        return [(b, v, "possible" if may_not[b] & f.bit[v] else "certain") for b, used in doing(f, "click").items() if b in live for v in f.names(used & may[b])]
 
     return each(facts_, of, "b long, v long, verdict string")
 
@@ -57,7 +58,7 @@ def called_once(facts_: DataFrame) -> DataFrame:
             bit = f.bit[v]
             if not any(m & bit for m in calls.values()):
                 continue
-            before, behind, _ = df.fixpoint(f.g, f.entry, {"n": 1}, lambda b, s, bit=bit: {"n": (s["n"] << 1 | (s["n"] & 4)) & 7} if calls.get(b, 0) & bit else s, lambda a, b: (a or 0) | (b or 0))
+            before, behind, _ = df.fixpoint(f.g, f.entry, {"n": 1}, lambda b, s, bit=bit: {"n": (s["n"] << 1 | (s["n"] & 4)) & 7} if calls.get(b, 0) & bit else s, lambda a, b: (a or 0) | (b or 0), max_visits=None)
             n = behind.get(f.exit, {"n": 0})["n"]
             verdict = "once" if n == 2 else "never" if n == 1 else "more than once" if n & 4 else "not on every way"
             out.append((v, bool(n & 1), bool(n & 2), bool(n & 4), verdict))

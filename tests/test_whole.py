@@ -1,11 +1,12 @@
 """Queries answer for whole tables, and derived graphs hold what the SQL gives without its restriction."""
 
+import pandas as pd
 import pytest
 from conftest import DATA, rows_of
 
 from graphloom import registry
 from graphloom.operators import callgraph as cg
-from graphloom.operators import cfg, interproc_queries
+from graphloom.operators import cfg, checkers, interproc_queries
 from graphloom.operators import interproc as ip
 from graphloom.plans import derive as dv
 
@@ -74,3 +75,21 @@ def test_more_sinks_than_ten_thousand(spark):
     assert ip.sink_levels(nodes, edges, sinks, guarded_every=17 * n).groupBy("level").count().collect() == [("always", 2 * n)]
     for small in (True, False):
         assert sorted(tuple(r) for r in cg.reach(nodes, edges, sinks, backwards=True, small=small).groupBy("level").count().collect()) == [(0, n), (1, n)]
+
+
+def test_functions_of_more_blocks_than_the_budget(monkeypatch):
+    """A chain of 20,500 blocks that sets its variable first, gives it up in the middle and uses it last."""
+    n = 20_500
+    kinds = {1: "signup", n // 2: "purchase", n: "click"}
+    facts = [("b", b, n, kinds.get(b, "view")) for b in range(1, n + 1)] + [("e", b, b + 1, "") for b in range(1, n)] + [("d", 1, 0, ""), ("u", n // 2, 0, ""), ("u", n, 0, "")]
+    f = cfg.Function(pd.DataFrame(facts, columns=["kind", "a", "b", "x"]))
+    for module in (cfg, checkers):
+        monkeypatch.setattr(module, "each", lambda facts, of, schema: of(facts))
+    assert sorted(cfg.liveness(f)) == [(b, 0) for b in range(2, n + 1)]
+    assert len(cfg.liveness(f, side="out")) == n - 1 and cfg.maybe_uninit(f) == [(1, 0)] and cfg.maybe_uninit(f, uses=True) == []
+    assert len(cfg.may_assigned(f)) == n - 1 and cfg.uninit_kinds(f) == [] and cfg.dead_stores(f) == []
+    assert checkers.moves(f) == [(n, 0, "certain")] and checkers.locks(f) == [(n, 0, "use unlocked")]
+    assert checkers.called_once(f) == [(0, False, True, False, "once")]
+    assert cfg.constants(f) == [(0, -1, "error:max-visits", 0)]
+    assert cfg.intervals(f) == [(0, -1, None, None, 0, "error:max-visits")]
+    assert cfg.taint(f) == [(0, -1, "error:max-visits")]
