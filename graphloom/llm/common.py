@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
-import math
 import sys
 import tempfile
 import uuid
@@ -23,6 +23,10 @@ BATCH_ROWS = 1000
 HOT_ROWS = 2000
 #: Keys that a join takes for hot, at most.
 MOST_HOT = 10_000
+#: Rows up to which a counted table of keys is broadcast; they are at most some hundred bytes each.
+MOST_BROADCAST = 100_000
+#: Bytes that one task of a shuffle of texts gets, about.
+TASK_BYTES = 32 << 20
 
 
 #: What kernels remember from task to task, by the operator that does.
@@ -62,14 +66,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Only where that is unset, as in tests, a local one is made."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Only a local master, whose executors are this machine, may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = local_root()
     return f"{root.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="graphloom-")
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -94,18 +104,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(df: DataFrame, target_bytes: int) -> int:
-    """How many parts of about target_bytes the input has, by the size of its files as the optimizer knows it; at least one per core and shuffle partition."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(least, min(1 << 20, math.ceil(size / target_bytes)))
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts, counted: files are compressed, and of joins and the like the optimizer knows no size."""
+    return docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+
+
+def parts_of(spark: SparkSession, size: int, target: int = TASK_BYTES) -> int:
+    """Tasks of about target bytes each for a shuffle of size bytes, one for each core at least: their number grows with the input, what one gets doesn't."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // target))
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Texts are long, so that Spark's default number of rows in a batch would hold tens of megabytes in both processes. A session's own setting stays."""
+    """Texts are long, so that Spark's default number of rows in a batch would hold tens of megabytes in both processes. What a session has set itself stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(name):
         df.sparkSession.conf.set(name, str(BATCH_ROWS))
     return df
 
@@ -115,6 +127,15 @@ def clean(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a vocabulary file lies on this machine: a path, or the name of a public tokenizer's file, which each worker finds for itself."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def text_chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of the rows of a batch that hold about limit bytes of text each, one row at least."""
     import numpy as np
@@ -132,19 +153,57 @@ def text_chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: i
         at = to
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of left with right, which has each key once. Hot keys of left are dealt over as many parts as they need, and their one row of right is repeated for each.
+def named(columns: list[str]) -> list:
+    """The columns by their names, whatever these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, made longer until no column has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", hot_rows: int = HOT_ROWS, tasks: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Inner or left join of left with right, which has each key once, in so many tasks. Hot keys of left are dealt over as many parts as they need, and their one row of right is repeated for each.
 
     A key is hot if it has more than hot_rows rows and more than one MOST_HOT-th of all rows. So there are at most MOST_HOT hot keys, whatever the
-    data, and their list is broadcast: left's rows learn their part without being brought together by key.
+    data, and their list is broadcast: left's rows learn their part without being brought together by key. The part follows from a row and the
+    partition that it comes in, so that equal rows part too, and a repeated task deals alike. counts (key, n) saves counting left's rows, if
+    known; a key that it lacks isn't hot.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    share = F.greatest(F.lit(hot_rows), F.ceil(F.col("_all") / MOST_HOT))
-    hot = counts.where(F.col("_n") > hot_rows).crossJoin(F.broadcast(total)).where(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
-    salted = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int"))).drop("_parts")
-    spread = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return salted.join(spread, [key, "_part"]).drop("_part")
+    keys = [key] if isinstance(key, str) else key
+    lacking = functools.reduce(lambda x, y: x | y, (F.col(k).isNull() for k in keys))
+    if counts is None:
+        counts = left.where(~lacking).groupBy(*keys).agg(F.count(F.lit(1)).alias("n" if "n" not in keys else "n_"))
+    n = next(c for c in counts.columns if c not in keys)
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    whole = lambda df: df.repartition(tasks, *keys) if tasks else df
+    if (most or 0) <= hot_rows and how == "inner":
+        return whole(left).join(whole(right), keys, how)
+    share = max(hot_rows, -(-(total or 0) // MOST_HOT))
+    parts, part = (unused(c, left, right) for c in ("_parts", "_part"))
+    hot = counts.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias(parts))
+    draw = F.xxhash64(*named([c for c, t in left.dtypes if "map<" not in t and t != "variant"]), F.spark_partition_id())
+    own = F.when(lacking, F.pmod(draw, F.lit(hot_rows))).when(F.col(parts).isNull(), F.lit(0)).otherwise(F.pmod(draw, F.col(parts))).cast("int")
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn(part, own).drop(parts)
+    spread = right.join(F.broadcast(hot), keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    keys = [*keys, part]
+    return whole(salted).join(whole(spread), keys, how).drop(part)
+
+
+def join_some(left: DataFrame, right: DataFrame, key: str | list[str], how: str, tasks: int | None = None) -> DataFrame:
+    """left, left_semi or left_anti join of left with right, which is stored, has each key once, no null keys and, but for left, the keys only. Broadcast if its counted rows are few; else by shuffle, with hot keys dealt out."""
+    keys = [key] if isinstance(key, str) else key
+    if right.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return left.join(F.broadcast(right), keys, how)
+    if how == "left":
+        return join_hot(left, right, keys, how, tasks=tasks)
+    there = unused("_there", left)
+    found = join_hot(left, right.select(*keys, F.lit(True).alias(there)), keys, "left", tasks=tasks)
+    return found.where(F.col(there).isNotNull() if how == "left_semi" else F.col(there).isNull()).select(*named(left.columns))
 
 
 def free_driver(spark: SparkSession) -> None:

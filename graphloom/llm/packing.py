@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import clean, memory_of, stored, text_chunks, tidy
+from graphloom.llm.common import clean, memory_of, stored, text_chunks, tidy, tokenizer_file
 
 CAPACITY, END_ID = 2048, 0
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of words and their ids that a worker remembers, about; longer words than this are not remembered.
+REMEMBERED, LONGEST = 96 << 20, 64
+#: What a remembered entry takes beside its own bytes.
+ENTRY = 200
 PUNCTUATION = string.punctuation.encode()
 #: Letters whose bytes in UTF-8 are all that occur behind the first, and all first ones.
 LETTERS = [chr(c) for c in [*range(0x80, 0x800, 0x20), *range(0x80, 0xC0), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x10000, 0x400), *range(0x10000, 0x110000, 0x10000)]]
@@ -48,7 +50,7 @@ class WordIds:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {b"": b""}
+        self.tokenizer, self.known, self.held, self.long = Tokenizer.from_file(path), {b"": b""}, 0, []
         self.model = self.tokenizer.model
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.visible = {b: byte_level.pre_tokenize_str(chr(b))[0][0][-1] for b in range(0x80)} | {b: byte_level.pre_tokenize_str(x)[0][0][k] for x in LETTERS for k, b in enumerate(x.encode())}
@@ -70,37 +72,46 @@ class WordIds:
                 return self.ids(text)
         return np.array([t.id for t in self.model.tokenize(seen)], dtype="<u4").tobytes()
 
+    def keep(self, w: bytes, ids: bytes) -> bytes:
+        self.known[w] = ids
+        if len(w) > LONGEST:
+            self.long.append(w)
+        else:
+            self.held += ENTRY + len(w) + len(ids)
+        return ids
+
     def learn(self, new: set[bytes]) -> None:
         known = self.known
         for w in new:
             core = w.rstrip(PUNCTUATION)
             if len(core) < len(w) and (not core or b"<|" in w or not core.decode().lower()[-1].isalnum()):
-                known[w] = self.ids(w.decode())
+                self.keep(w, self.ids(w.decode()))
                 continue
             tail = w[len(core) :]
             if core.isascii():
                 core = core.lower() if b"<|" not in w else core
-            for x in (core, tail):
-                if x not in known:
-                    known[x] = self.encode(x)
-            known[w] = known[core] + known[tail]
+            parts = [known[x] if x in known else self.keep(x, self.encode(x)) for x in (core, tail)]
+            if w not in known:
+                self.keep(w, b"".join(parts))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if self.held > REMEMBERED:
+            self.known, self.held = {b"": b""}, 0
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {b"": b""}
-            new = set().union(*split)
-        self.learn(new)
+        self.learn(set().union(*split).difference(self.known))
         get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        out = [b"".join(map(get, ws)) for ws in split]
+        for w in self.long:
+            del self.known[w]
+        self.long = []
+        return out
 
 
 def words_of(path: str) -> WordIds:
     memory = memory_of("packing")
     if path not in memory:
-        memory[path] = WordIds(path)
+        memory[path] = WordIds(tokenizer_file(path))
     return memory[path]
 
 
@@ -192,7 +203,7 @@ def place(rows: list[tuple[int, int, int, int, int]]):
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset). What the driver gets is one count for each length, capacity at most."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset). What the driver gets is one count for each length, capacity at most. tokenizer: a file that workers can read, or the name of a public one."""
     pieces = stored(clean(docs).mapInArrow(tidy(cut(tokenizer, capacity), "packing"), PIECES))
     of_part = pieces.where(F.col("length") < capacity).groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     rows, bins = plan({r.length: r.n for r in of_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

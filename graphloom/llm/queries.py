@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import chat_format, html_extract, minhash_dedup, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity, warc, webp
 from graphloom.llm.common import table
 
-#: Where the vocabulary files of public tokenizers lie.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+#: Names of the public tokenizers' files.
+WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -86,12 +85,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
 @query

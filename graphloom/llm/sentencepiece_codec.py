@@ -20,15 +20,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import clean, memory_of, text_chunks, tidy
+from graphloom.llm.common import clean, memory_of, text_chunks, tidy, tokenizer_file
 
 MARK = "▁"
 WORDS = re.compile(r" *[^ \n]+| +|\n")
 #: The same, but letters end where punctuation begins, for models whose pieces never have the one before the other.
 FINER_WORDS = re.compile(r" *[A-Za-z0-9À-ÖØ-öø-ÿ]+(?=[!-/:-@[-`{-~])| *[^ \n]+| +|\n")
 LETTER_PUNCTUATION = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ][!-/:-@[-`{-~]")
-#: Words that a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of words, ids and decoded words that a worker remembers, about; longer words than this are not remembered.
+REMEMBERED, LONGEST = 96 << 20, 64
+#: What a remembered entry takes beside its own bytes.
+ENTRY = 250
+#: Texts that a normalizer other than the identity, or other handling of spaces, would change.
+PROBES = ("\uff21\ufb01", "  a  b ", "e\u0301\u2460", "A\tb\u00a0c", "\u00adx\u200b")
 
 
 class Codec:
@@ -61,6 +65,10 @@ class Codec:
         self.characters = {p for p in self.id if len(p) == 1}
         self.beside: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
+        for text in PROBES:
+            if self.encode(text) != model.encode(text):
+                raise ValueError("the model normalizes texts before it merges, so its ids can't be had from the texts alone")
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str]]:
         """The definition: of the neighbours whose union is a piece, the leftmost of the best score merge, until none are left. Also the last two that merged."""
@@ -85,7 +93,7 @@ class Codec:
         """
         key = (left, right)
         if key not in self.beside:
-            if len(self.beside) > 4 * REMEMBERED:
+            if len(self.beside) > REMEMBERED // ENTRY:
                 self.beside.clear()
             a, b = self.piece[left], self.piece[right]
             self.beside[key] = self.merged(a + b)[0] == [a, b] if MARK + MARK in a + b else not self.joins(a, b)
@@ -160,14 +168,19 @@ class Codec:
         """Decimal ids joined by commas, and what they decode to, in UTF-8."""
         if not text:
             return b"", b""
-        split = self.split(text)
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
+        split, long = self.split(text), []
         for w in set(split).difference(self.known):
-            if len(self.known) >= REMEMBERED + len(split):
-                self.known = {}
-                return self.both(text)
             ids = self.encode_word(w.replace(" ", MARK))
-            self.known[w] = (",".join(map(str, ids)).encode(), b"".join([self.raw[i] for i in ids]))
+            self.known[w] = pair = (",".join(map(str, ids)).encode(), b"".join([self.raw[i] for i in ids]))
+            if len(w) > LONGEST:
+                long.append(w)
+            else:
+                self.held += ENTRY + len(w) + len(pair[0]) + len(pair[1])
         found = list(map(self.known.__getitem__, split))
+        for w in long:
+            del self.known[w]
         return b",".join([a for a, _ in found]), b"".join([b for _, b in found])[1:]
 
 
@@ -187,12 +200,12 @@ def decode_bytes(raw: bytes) -> str:
 def codec(path: str) -> Codec:
     memory = memory_of("sentencepiece")
     if path not in memory:
-        memory[path] = Codec(path)
+        memory[path] = Codec(tokenizer_file(path))
     return memory[path]
 
 
 def encode_decode(docs: DataFrame, model: str, ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text; with ids also the ids themselves."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text; with ids also the ids themselves. model: a file that workers can read, or the name of a public one."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
