@@ -45,10 +45,10 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.docs) - 1), self.counts)
 
-    def fingerprints(self) -> np.ndarray:
-        """64 bits of each word, over eight bytes at a time; equal for equal words."""
+    def fingerprints(self, seed: np.uint64 = U(0)) -> np.ndarray:
+        """64 bits of each word, over eight bytes at a time; equal for equal words. Each seed makes others."""
         n = self.ends - self.starts
-        h = n.astype(U) * K1
+        h = n.astype(U) * K1 + seed
         data = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
         eight = np.ndarray(shape=len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
         left, at, which = n, self.starts, slice(None)
