@@ -6,7 +6,8 @@ A misspelling that was never seen shares most n-grams, hence most of its vector,
 model is one number per bucket and an intercept: its size is fixed, and scoring a text is one pass over its words.
 
 Defined cases: a null or empty text scores as the intercept says; labelled rows whose text or label is null aren't learned from; of repeated
-labels of a document the larger counts; without labelled rows, or with one class only, the score is the share of toxic rows (0 if there are none).
+labels of a document the larger counts, of repeated rows of one the text that is first in order; without labelled rows, or with one class only, the score is the
+share of toxic rows (0 if there are none).
 """
 
 from __future__ import annotations
@@ -119,7 +120,8 @@ class Model:
         of_word = np.add.reduceat(self.weight[b.buckets], b.word_at[:-1]) if len(n) else np.zeros(0)
         total = np.bincount(b.text, of_word[b.word] * b.count, minlength=len(texts))
         size = np.bincount(b.text, n[b.word] * b.count, minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(total / np.maximum(size, 1) + self.intercept, -40, 40)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-(total / np.maximum(size, 1) + self.intercept)))
 
 
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
@@ -187,11 +189,13 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """A model of labels.toxic, from rows that aren't held out. The driver gets `most` texts at most."""
+    """A model of labels.toxic, from rows that aren't held out. The driver gets `most` texts at most, one of each document; labels of documents that aren't there, or have no text, don't count towards them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = clean(docs.where("text IS NOT NULL")).join(F.broadcast(known), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    there = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = known.join(there.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = small_batches(there).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     model = fit([r.text for r in rows], np.array([r.toxic for r in rows], dtype=float))
     del rows
     give_back()
