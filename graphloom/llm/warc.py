@@ -11,6 +11,7 @@ and payload are alike; a null url is left out; an empty table writes nothing; ot
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import posixpath
 import uuid
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import drop_at_exit, join_hot, shared_folder, small_batches, stored, tidy
+from graphloom.llm.common import drop_at_exit, join_hot, join_some, parts_of, shared_folder, small_batches, stored, text_bytes, tidy
 
 LEAST_BYTES = 100
 #: Ranges at most this far apart are read together, up to this much at once.
@@ -81,24 +82,22 @@ def writing(folder: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
         store.create_dir(path, recursive=True)
-        out = name = None
+        name = f"{uuid.uuid4().hex}.warc.gz"
         at = 0
-        for batch in batches:
-            rows = []
-            for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                if out is None:
-                    name = f"{uuid.uuid4().hex}.warc.gz"
-                    out = store.open_output_stream(posixpath.join(path, name), compression=None)
-                payload = html.encode()
-                digest = hashlib.sha256(payload).hexdigest()
-                member = record(page_id, url, payload, digest, refers_to)
-                out.write(member)
-                rows.append((page_id, url, name, at, len(member), digest, "response" if refers_to is None else "revisit"))
-                at += len(member)
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["page_id", "url", "file", "offset", "length", "payload_digest", "record_type"])
-        if out is not None:
-            out.close()
+        with contextlib.ExitStack() as files:  # closed whether the task ends or fails
+            out = None
+            for batch in batches:
+                rows = []
+                for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                    out = out or files.enter_context(store.open_output_stream(posixpath.join(path, name), compression=None))
+                    payload = html.encode()
+                    digest = hashlib.sha256(payload).hexdigest()
+                    member = record(page_id, url, payload, digest, refers_to)
+                    out.write(member)
+                    rows.append((page_id, url, name, at, len(member), digest, "response" if refers_to is None else "revisit"))
+                    at += len(member)
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["page_id", "url", "file", "offset", "length", "payload_digest", "record_type"])
 
     return of
 
@@ -132,18 +131,19 @@ def reading(folder: str, gap: int, most: int):
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Writes the archives and returns their index, which is stored."""
-    p = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
+    """Writes the archives and returns their index, which is stored. Pages stay in the tasks that read them while the list of revisits is short enough to be sent to all."""
+    p = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha2(F.encode("html", "utf-8"), 256)))
     ids = p.where((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    held = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    refers = join_hot(ids, held, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    return stored(p.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(tidy(writing(folder)), INDEX))
+    held = stored(ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"))
+    refers = stored(join_hot(ids, held.select("digest", "first"), "digest", counts=held.select("digest", "n")).where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct())
+    told = join_some(p, refers, ["page_id", "digest"], "left", parts_of(pages.sparkSession, text_bytes(p, "html")))
+    return stored(told.select("page_id", "url", "html", "refers_to").mapInArrow(tidy(writing(folder)), INDEX))
 
 
 def read(index: DataFrame, folder: str, gap: int = GAP, most: int = MOST_READ) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records that the index rows name."""
-    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.sparkSession.sparkContext.defaultParallelism)
-    return index.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(tidy(reading(folder, gap, most)), READ)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    return index.select("file", "offset", "length").repartitionByRange(parts_of(index.sparkSession, size), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(tidy(reading(folder, gap, most)), READ)
 
 
 def archive(pages: DataFrame) -> DataFrame:
