@@ -2,7 +2,7 @@
 
 Control strings inside texts are escaped reversibly: between `<` and `|` one backslash is put before those that stand there already, so that no
 text holds the beginning of a control string; in a role also backslashes and line ends are escaped. Turns stream through: nothing of a
-conversation is held but the machine's state and two running digests, so that a conversation may have any number of turns.
+conversation is held but the machine's state, two running digests and the turn that is being read back, so that a conversation may have any number of turns.
 
 Defined cases: a null text or role is empty; rows are taken by turn, then role, then text, nulls first, and repeated rows are turns of their own; a
 conversation whose order the machine refuses is formatted all the same and marked with the first turn refused (from 0; -1: none); rows without conv_id are one conversation
@@ -68,46 +68,71 @@ class Machine:
         return [(t.begin + escape_role(role) + t.after_role, False), (escape(text), role in t.learned), (t.end, False)], fits
 
 
-def read_back(formatted: str, template: Template) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a formatted text."""
+class Reader:
+    """Reads turns and learned texts back from emitted segments alone, as they come. It holds what isn't a whole turn yet."""
+
+    def __init__(self, template: Template) -> None:
+        self.template, self.formatted = template, ""
+        self.turns, self.loss, self.n, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+
+    def add(self, segment: str, learned: bool) -> None:
+        self.chars += len(segment)
+        if learned:
+            under = unescape(segment)
+            self.loss.update(under.encode())
+            self.loss_chars += len(under)
+        self.formatted += segment
+        if segment == self.template.end:
+            turns, at = read_turns(self.formatted, self.template)
+            for role, text in turns:
+                self.turns.update(f"{role}\n{text}\n".encode())
+            self.n += len(turns)
+            self.formatted = self.formatted[at:]
+
+
+def read_turns(formatted: str, template: Template) -> tuple[list[tuple[str, str]], int]:
+    """(role, text) of each whole turn of a formatted text, and where the rest begins."""
     out, at = [], 0
     while at < len(formatted):
         if not formatted.startswith(template.begin, at):
             raise ValueError(f"no turn begins at {at}")
-        role_end = formatted.index(template.after_role, at)
-        end = formatted.index(template.end.rstrip("\n"), role_end + len(template.after_role))
+        role_end = formatted.find(template.after_role, at)
+        end = formatted.find(template.end, role_end + len(template.after_role)) if role_end >= 0 else -1
+        if end < 0:
+            break
         out.append((unescape_role(formatted[at + len(template.begin) : role_end]), unescape(formatted[role_end + len(template.after_role) : end])))
         at = end + len(template.end)
-    return out
+    return out, at
+
+
+def read_back(formatted: str, template: Template) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a whole formatted text."""
+    turns, at = read_turns(formatted, template)
+    if at < len(formatted):
+        raise ValueError(f"the turn at {at} doesn't end")
+    return turns
 
 
 class Digest:
-    """What is known of a conversation so far, from its formatted text and loss mask alone."""
+    """A conversation turn by turn: its segments, and what a reader of these finds."""
 
     def __init__(self, conv_id: int | None, template: Template) -> None:
-        self.conv_id, self.template, self.machine = conv_id, template, Machine(template)
-        self.turns, self.loss, self.n, self.loss_chars, self.chars, self.refused = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, None
+        self.conv_id, self.machine, self.reader, self.turn, self.refused = conv_id, Machine(template), Reader(template), 0, None
 
     def add(self, role: str, text: str) -> str:
         segments, fits = self.machine.turn(role, text)
         if not fits and self.refused is None:
-            self.refused = self.n
-        formatted = "".join(s for s, _ in segments)
-        at = 0
-        for s, learned in segments:
-            if learned:
-                under = unescape(formatted[at : at + len(s)])
-                self.loss.update(under.encode())
-                self.loss_chars += len(under)
-            at += len(s)
-        for read_role, read_text in read_back(formatted, self.template):
-            self.turns.update(f"{read_role}\n{read_text}\n".encode())
-            self.n += 1
-        self.chars += at
-        return formatted
+            self.refused = self.turn
+        self.turn += 1
+        for segment, learned in segments:
+            self.reader.add(segment, learned)
+        return "".join(s for s, _ in segments)
 
     def row(self) -> tuple:
-        return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.refused is None, -1 if self.refused is None else self.refused
+        r = self.reader
+        if r.formatted:
+            raise ValueError(f"conversation {self.conv_id} doesn't read back: {len(r.formatted)} characters are no turn")
+        return self.conv_id, r.n, r.turns.hexdigest(), r.loss_chars, r.loss.hexdigest(), r.chars, self.refused is None, -1 if self.refused is None else self.refused
 
 
 RESULT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, refused_turn long"
