@@ -13,7 +13,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from graphloom.llm import chat_format, html_extract, minhash_dedup, packing, quality_rules, substring_dedup, textkernel, toxicity, warc, webp
-from graphloom.llm.queries import TOKENIZERS
+from graphloom.llm.common import tokenizer_file
+from graphloom.llm.queries import PIECE_BPE, WORD_BPE
 from graphloom.llm.sentencepiece_codec import Codec
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,11 +42,11 @@ def test_words_and_runs(texts):
 
 @pytest.fixture(scope="module")
 def codec():
-    return Codec(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return Codec(tokenizer_file(PIECE_BPE))
 
 
 def test_sentencepiece_as_the_library(codec):
-    library = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(PIECE_BPE))
     r = random.Random(5)
     texts = ODD + ["".join(r.choice(" ▁aeinrst.,\n\t0123éñ中😀\x00#%AB-") for _ in range(r.randint(0, 40))) for _ in range(2000)] + [c * k for c in " a.-=" for k in range(1, 60)]
     for t in texts:
@@ -75,8 +76,8 @@ def test_pairs_by_definition(codec):
 
 
 def test_word_ids_as_the_library():
-    library = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
-    own = packing.WordIds(f"{TOKENIZERS}/word_bpe_49k.json")
+    library = Tokenizer.from_file(tokenizer_file(WORD_BPE))
+    own = packing.WordIds(tokenizer_file(WORD_BPE))
     r = random.Random(6)
     texts = ODD + ["".join(r.choice(" aeINrst.,\n'!#123éÉñ中😀\x01<|>") for _ in range(r.randint(0, 40))) for _ in range(2000)]
     got = own.of([t.encode() for t in texts])
@@ -314,7 +315,7 @@ def test_chat_is_read_back(turns):
     assert formatted.count("<|im_start|>") == len(turns)
     assert d.row()[2] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
     assert d.row()[4] == hashlib.sha256("".join(b for a, b in turns if a == "assistant").encode()).hexdigest()
-    assert d.chars == len(formatted)
+    assert d.reader.chars == len(formatted)
 
 
 def test_chat_machine():

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,11 +11,13 @@ import numpy as np
 import pytest
 import sentencepiece
 from conftest import DATA, same_rows
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from graphloom.llm import chat_format, common, html_extract, minhash_dedup, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity, warc, webp
-from graphloom.llm.queries import ORACLES, QUERIES, TOKENIZERS
+from graphloom.llm.common import tokenizer_file
+from graphloom.llm.queries import ORACLES, PIECE_BPE, QUERIES, WORD_BPE
 
 SF = f"{DATA}/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,6 +78,8 @@ def test_substring(odd, none):
     got = substring_dedup.remove_repeats(odd, group_bytes=256).collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(texts_of(odd))
     assert substring_dedup.remove_repeats(none).collect() == []
+    clashing = odd.withColumns({"_group": F.lit(1), "_dealt_to": F.lit(2)})
+    assert substring_dedup.cut_repeats(clashing).columns == clashing.columns
     cut = substring_dedup.cut_repeats(odd)
     assert cut.columns == odd.columns and cut.count() == odd.count()
     texts = {r.doc_id: r.text for r in cut.collect() if r.doc_id is not None}
@@ -84,13 +89,13 @@ def test_substring(odd, none):
 # Near duplicates.
 
 
-def shingles(text):
+def shingles(text, width=3):
     ws = WORD.findall(text.translate(LOW))
-    return frozenset(tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))) if ws else frozenset()
+    return frozenset(tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))) if ws else frozenset()
 
 
-def brute_near(rows):
-    sets = [(d, shingles(t)) for d, t in rows if d is not None]
+def brute_near(rows, width=3, percent=85):
+    sets = [(d, shingles(t, width)) for d, t in rows if d is not None]
     parent = {d: d for d, _ in sets}
 
     def find(x):
@@ -100,7 +105,7 @@ def brute_near(rows):
 
     for i, (a, s) in enumerate(sets):
         for b, t in sets[:i]:
-            if s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: find(d) for d in parent}
@@ -132,8 +137,34 @@ def test_near_duplicate_chains_in_blocks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     root = brute_near(rows)
     assert 1 < len(set(root.values())) < 100
-    for block in (minhash_dedup.BLOCK, 1500):
-        assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, block=block).collect()} == root
+    for block, most in ((minhash_dedup.BLOCK, minhash_dedup.MEMBERS), (1500, 3)):
+        assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, block=block, most=most).collect()} == root
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one document with several texts have the links of each, whatever their order."""
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join(w.replace("w", "v") for w in words)
+    rows = [(5, a), (5, b), (1, a + " end"), (2, b + " end"), (7, "alone " * 3), (7, b + " end")]
+    for order in ((0, 1, 2, 3), (1, 0, 3, 2), (2, 1, 3, 0)):
+        docs = spark.createDataFrame([rows[k] for k in order] + rows[4:], "doc_id long, text string").coalesce(1)
+        got = minhash_dedup.near_duplicates(docs).collect()
+        assert len(got) == 6 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (5, 1), (7, 1)}
+        if order[0] == 0:
+            assert [tuple(r) for r in minhash_dedup.keep_one(docs).collect()] == [(1, a + " end")]
+    twice = spark.createDataFrame([(3, b), (3, a), (3, a)], "doc_id long, text string")
+    assert [tuple(r) for r in minhash_dedup.keep_one(twice).collect()] == [(3, b)]
+
+
+def test_one_id_with_very_many_texts(spark):
+    """A third of all rows has one doc_id: its texts are dealt out, and nothing is lost."""
+    r = random.Random(12)
+    shared = " ".join(f"s{k}" for k in range(55))
+    rows = [(7, f"{' '.join(f'x{r.randrange(50)}' for _ in range(r.randrange(8)))} {shared if k % 50 == 0 else k}") for k in range(100_000)]
+    rows += [(k, shared) for k in (3, 9)] + [(None, shared)] * 3 + [(10 + k, f"own {k} {shared if k % 97 == 0 else ''}") for k in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = substring_dedup.remove_repeats(docs, group_bytes=1 << 18).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows)
 
 
 def test_near_duplicates_by_five_words(spark):
@@ -194,6 +225,8 @@ def test_quality(odd, none):
         failed = len(ws) < 50 or 100 * len(covered) > 50 * len(ws)
         assert (d, len(ws), len(covered), failed, not failed) in got
     assert quality_rules.judge(none).collect() == []
+    clashing = odd.withColumns({"_host": F.lit(1), "_failed": F.lit(True), "_rejected_host": F.lit("s")})
+    assert quality_rules.keep_good(clashing, max_rate=0.99).columns == clashing.columns
     kept = quality_rules.keep_good(odd, max_rate=0.99)
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in quality_rules.judge(odd, max_rate=0.99).collect())
 
@@ -211,20 +244,20 @@ def test_bad_hosts_reject_and_small_ones_do_not(spark):
 
 
 def test_sentencepiece(spark, odd, none):
-    library = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(PIECE_BPE))
     for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
-        got = sentencepiece_codec.encode_decode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", ids=True).collect()
+        got = sentencepiece_codec.encode_decode(docs, PIECE_BPE, ids=True).collect()
         seen = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) for r in got)
         want = collections.Counter()
         for d, t in texts_of(docs):
             ids = library.encode(t)
             want[(d, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)), tuple(ids))] += 1
         assert seen == want
-    assert sentencepiece_codec.encode_decode(none, f"{TOKENIZERS}/piece_bpe_32k.model").collect() == []
+    assert sentencepiece_codec.encode_decode(none, PIECE_BPE).collect() == []
 
 
 def check_packing(rows, docs, path):
-    library = Tokenizer.from_file(path)
+    library = Tokenizer.from_file(tokenizer_file(path))
     want, got = collections.Counter(), collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     for d, t in docs:
         ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
@@ -244,7 +277,7 @@ def check_packing(rows, docs, path):
 
 
 def test_packing(spark, odd, none):
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = WORD_BPE
     for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
         check_packing(packing.pack(docs, path).collect(), texts_of(docs), path)
     assert packing.pack(none, path).collect() == []
@@ -324,10 +357,37 @@ def test_toxicity_held_out(spark, odd, none):
     assert hits / sum(t for _, t in held) > 0.85 and hits / sum(p for p, _ in held) > 0.85
     assert len(toxicity.score(odd, model).collect()) == odd.count() and toxicity.score(none, model).collect() == []
     nothing = toxicity.train(none, spark.createDataFrame([], labels.schema))
-    assert all(r.score < 1e-9 for r in toxicity.score(odd, nothing).collect())
+    assert all(r.score == 0 for r in toxicity.score(odd, nothing).collect())
     assert toxicity.keep_clean(odd, model).columns == odd.columns
 
 
+def test_toxicity_by_a_plain_forward_pass(spark):
+    """Scores are the mean over all subwords of all words through the layer, one by one in plain Python."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for d, t in texts_of(docs)[:60]:
+        weights = []
+        for w in WORD.findall(t.translate(LOW)):
+            raw = np.frombuffer(w.encode(), dtype=np.uint8)
+            buckets, _ = toxicity.subwords(raw, np.array([0]), np.array([len(raw)]))
+            marked = f"<{w}>"
+            assert len(buckets) == 1 + sum(max(0, len(marked) - g + 1) for g in toxicity.GRAMS)
+            weights += [float(model.weight[b]) for b in buckets]
+        z = (sum(weights) / len(weights) if weights else 0.0) + model.intercept
+        assert abs(got[d] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_learns_from_rows_that_are_there(spark):
+    """Labels of documents that are absent, or held out, or repeated don't use up the sample."""
+    text = lambda bad: " ".join(["plain", "words", "here"] * 12 + ["scoundrel"] * 3 * bad)
+    there = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(k, text(k % 3 == 0)) for k in there for _ in range(2)] + [(None, "x"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in there] + [(k, 0) for k in range(10_000, 30_000)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels, most=len(there))).collect()
+    assert all(r.predicted == (r.doc_id % 3 == 0) for r in got if r.doc_id in there and r.doc_id != 5)
+
+
 # The pipeline.
 
 
@@ -343,7 +403,7 @@ def test_pipeline_by_brute_force(spark):
         covered = {i + k for i in range(len(ws) - 2) if runs[tuple(ws[i : i + 3])] > 1 for k in range(3)}
         if len(ws) >= 50 and 100 * len(covered) <= 50 * len(ws):
             good[d] = t
-    root = brute_near(list(good.items()))
+    root = brute_near(list(good.items()), 5, 80)
     one = {d: t for d, t in good.items() if root[d] == d}
     now = common.stored(docs)
     counts = []
@@ -361,5 +421,5 @@ def test_pipeline_by_brute_force(spark):
         kept[(r.doc_id, len(before), len(before) - len(ws), sha(" ".join(ws)))] += 1
         assert r.n_chars == len(r.text)
     assert kept == want
-    check_packing(corpus_pipeline.run(spark, SF).collect(), texts_of(now), f"{TOKENIZERS}/word_bpe_49k.json")
+    check_packing(corpus_pipeline.run(spark, SF).collect(), texts_of(now), WORD_BPE)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "near copies", "repeated passages", "packing"]
