@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import minhash_dedup, packing, quality_rules, substring_dedup, toxicity
 from graphloom.llm.common import stored, table
-from graphloom.llm.queries import TOKENIZERS
+from graphloom.llm.queries import WORD_BPE
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.keep_one(docs)
+    return minhash_dedup.keep_one(docs, percent=80, width=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(docs, WORD_BPE)
 
 
 STAGES = [("toxicity", toxic), ("quality rules", quality), ("near copies", near_copies), ("repeated passages", repeats), ("packing", packed)]
