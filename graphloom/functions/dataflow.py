@@ -120,10 +120,12 @@ class Interval:
         return Interval(None if self.lo is None or o.lo is None else min(self.lo, o.lo), None if self.hi is None or o.hi is None else max(self.hi, o.hi))
 
     def widen(self, now: Interval) -> Interval:
-        """What moved since self goes to infinity."""
+        """A bound that moved outwards since self goes to infinity; the other stays where it was."""
         if self.empty or now.empty:
-            return now
-        return Interval(now.lo if now.lo == self.lo else None, now.hi if now.hi == self.hi else None)
+            return self.join(now)
+        low = self.lo is None or now.lo is not None and now.lo >= self.lo
+        high = self.hi is None or now.hi is not None and now.hi <= self.hi
+        return Interval(self.lo if low else None, self.hi if high else None)
 
     def plus(self, o: Interval) -> Interval:
         if self.empty or o.empty:

@@ -32,7 +32,7 @@ def reach(nodes: DataFrame, edges: DataFrame, roots: DataFrame | list[int], back
     """(fn, level) of what the roots reach, themselves at 0."""
     e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backwards else edges.select("src", "dst")
     if fx.is_small(e) if small is None else small:
-        return fx.on_whole(nodes, e, lambda ns, es, own: list(dg.levels(dg.graph(ns, es), sorted(own)).items()), "fn long, level long", fx.chosen(nodes, roots))
+        return fx.on_whole(nodes, e.distinct(), lambda ns, es, own: list(dg.levels(dg.graph(ns, es), sorted(own)).items()), "fn long, level long", fx.chosen(nodes, roots))
     return fx.levels(e, fx.chosen(nodes, roots))
 
 
@@ -89,9 +89,9 @@ def heights(nodes: DataFrame, edges: DataFrame, small: bool | None = None, max_r
 
 def simple_paths(edges: DataFrame, source: int, target: int, most: int) -> DataFrame:
     """(len, path) of all chains from source to target that repeat no node, of at most so many edges. Only nodes that can still arrive are entered: each has its distance to the target."""
-    pairs = edges.select("src", "dst").distinct()
-    can = fx.levels(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.sparkSession.createDataFrame([(target,)], "fn long"), most + 2).where(F.col("level") <= most) if most > 0 else None
-    step = pairs.join(can.select(F.col("fn").alias("dst"), F.col("level").alias("still")), "dst")
+    pairs = fx.written(edges.select("src", "dst").distinct())
+    can = reach(pairs.select(F.explode(F.array("src", "dst")).alias("fn")).distinct(), pairs, [target], backwards=True).where(F.col("level") <= most)
+    step = fx.written(pairs.join(can.select(F.col("fn").alias("dst"), F.col("level").alias("still")), "dst"))
     front = pairs.sparkSession.createDataFrame([(source, [source])], "at long, path array<long>")
     out = None
     for n in range(1, most + 1):
@@ -136,13 +136,21 @@ def shortest_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return fx.on_whole(nodes, edges.select("src", "dst").distinct(), whole, "label long, len long")
 
 
-def metrics(nodes: DataFrame, sites: DataFrame, main: int) -> DataFrame:
-    """(fn, in_deg, out_deg, sites, height, leaf, root, recursive, dead)"""
+def metrics(nodes: DataFrame, sites: DataFrame, entries: DataFrame) -> DataFrame:
+    """(fn, label, in_deg, out_deg, sites, height, leaf, root, recursive, dead): dead is what the entries (fn) don't reach. Distinct pairs are written once, and a graph of checked size is gone through in one kernel."""
+    pairs = fx.written(sites.select("src", "dst").distinct())
     d = degrees(nodes, sites)
-    parts = components(nodes, sites).select("fn", F.col("cyclic").alias("recursive"))
-    alive = reach(nodes, sites, [main]).select("fn", F.lit(False).alias("dead"))
-    h = heights(nodes, sites)
-    out = d.join(parts, "fn").join(h, "fn").join(alive, "fn", "left")
-    return out.select("fn", "in_deg", "out_deg", "sites", "height", (F.col("out_deg") == 0).alias("leaf"), (F.col("other_callers") == 0).alias("root"), "recursive", F.coalesce("dead", F.lit(True)).alias("dead"))
-
+    if fx.is_small(pairs):
 
+        def whole(ns: list, es: list, own: set) -> list[tuple]:
+            g = dg.graph(ns, es)
+            part = {m: (c[0], dg.cyclic(g, c)) for c in dg.components(g) for m in c}
+            high, live = dg.heights(g), dg.levels(g, sorted(own))
+            return [(n, *part[n], -1 if high[n] is None else high[n], n not in live) for n in g]
+
+        found = fx.on_whole(nodes, pairs, whole, "fn long, label long, recursive boolean, height long, dead boolean", entries).withColumn("height", F.nullif("height", F.lit(-1).cast("long")))
+    else:
+        parts = components(nodes, pairs, small=False).select("fn", "label", F.col("cyclic").alias("recursive"))
+        alive = reach(nodes, pairs, entries, small=False).select("fn", F.lit(False).alias("dead"))
+        found = parts.join(heights(nodes, pairs, small=False), "fn").join(alive, "fn", "left").withColumn("dead", F.coalesce("dead", F.lit(True)))
+    return d.join(found, "fn").select("fn", "label", "in_deg", "out_deg", "sites", "height", (F.col("out_deg") == 0).alias("leaf"), (F.col("other_callers") == 0).alias("root"), "recursive", "dead")

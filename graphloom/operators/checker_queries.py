@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphloom.operators import checkers
-from graphloom.operators.graph_queries import AVOID, I, facts
+from graphloom.operators.graph_queries import AVOID, I, facts, kernel
 from graphloom.registry import query
 
 ACTS = "act AS (SELECT fn, b, et, v::BIGINT AS v FROM blk WHERE et IN ('signup', 'purchase', 'click') AND v IS NOT NULL), vars AS (SELECT DISTINCT fn, v FROM act)"
@@ -37,3 +37,13 @@ def _(spark, d):
 @query("unchecked_access", I + ACTS + ", " + AVOID + " SELECT fn, b, v FROM act WHERE et = 'click' AND NOT EXISTS (SELECT 1 FROM dom JOIN act c ON c.fn = dom.fn AND c.b = dom.dom AND c.et = 'signup' WHERE dom.fn = act.fn AND dom.b = act.b AND c.v = act.v)")
 def _(spark, d):
     return checkers.unchecked(facts(spark, d))
+
+
+STATES = may("sc", "purchase", "signup", False) + ", " + may("sw", "signup", "purchase", False) + ", su AS (SELECT fn, 1::BIGINT AS b, v FROM vars UNION SELECT su.fn, e.d, su.v FROM su JOIN e ON e.fn = su.fn AND e.s = su.b WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.fn = su.fn AND act.b = su.b AND act.v = su.v AND act.et IN ('signup', 'purchase')))"
+HAS = "EXISTS (SELECT 1 FROM {0} x WHERE x.fn = act.fn AND x.b = act.b AND x.v = act.v)"
+kernel("typestate", checkers.typestates, I + ACTS + ", " + STATES + " SELECT fn, b, v, concat_ws('|', " + ", ".join(f"CASE WHEN {HAS.format(t)} THEN '{n}' END" for t, n in (("sc", "consumed"), ("su", "unknown"), ("sw", "whole"))) + ") AS states FROM act WHERE et = 'click'")
+kernel("expired_loans", checkers.expired_loans, I + ACTS + ", ln AS (SELECT act.fn, act.b AS issue, act.v, e.d AS b, false AS over FROM act JOIN e ON e.fn = act.fn AND e.s = act.b WHERE et = 'signup' UNION SELECT ln.fn, ln.issue, ln.v, e.d, ln.over OR EXISTS (SELECT 1 FROM act WHERE act.fn = ln.fn AND act.b = ln.b AND act.v = ln.v AND act.et = 'purchase') FROM ln JOIN e ON e.fn = ln.fn AND e.s = ln.b WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.fn = ln.fn AND act.b = ln.b AND act.v = ln.v AND act.et = 'signup')) SELECT ln.fn, issue, ln.b, ln.v, CASE WHEN bool_and(over) THEN 'definite' ELSE 'maybe' END AS confidence FROM ln JOIN act ON act.fn = ln.fn AND act.b = ln.b AND act.v = ln.v AND act.et = 'click' GROUP BY ln.fn, issue, ln.b, ln.v HAVING bool_or(over)")
+MOVES = I + ACTS + ", " + ON + ", " + OFF + ", mv AS (SELECT fn, b, v, CASE WHEN EXISTS (SELECT 1 FROM moff m WHERE m.fn = act.fn AND m.b = act.b AND m.v = act.v) THEN 'possible' ELSE 'certain' END AS verdict FROM act WHERE et = 'click' AND EXISTS (SELECT 1 FROM mon m WHERE m.fn = act.fn AND m.b = act.b AND m.v = act.v))"
+kernel("leading_reports", checkers.leading_reports, MOVES + ", " + AVOID + " SELECT * FROM mv WHERE NOT EXISTS (SELECT 1 FROM mv o JOIN dom ON dom.fn = o.fn AND dom.dom = o.b WHERE o.fn = mv.fn AND o.v = mv.v AND o.b <> mv.b AND dom.b = mv.b)")
+kernel("unit_status", lambda f: checkers.unit_status(f, 20_000), MOVES + " SELECT fn, CASE WHEN NOT bool_or(et = 'purchase' AND v IS NOT NULL) THEN 'skip:no-move' WHEN (SELECT count(*) FROM mv WHERE mv.fn = blk.fn) > 0 THEN 'found' ELSE 'clean' END AS status, CASE WHEN bool_or(et = 'purchase' AND v IS NOT NULL) THEN (SELECT count(*) FROM mv WHERE mv.fn = blk.fn) ELSE 0 END AS reports FROM blk GROUP BY fn")
+kernel("analysis_log", checkers.log)

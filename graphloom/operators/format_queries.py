@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import boolean as bl
 from graphloom.operators import callgraph as cg
-from graphloom.operators.graph_queries import I, dv, graph, sites
-from graphloom.operators.interproc_queries import TU, units
+from graphloom.operators.graph_queries import I, dv, graph
+from graphloom.operators.interproc_queries import units
+from graphloom.plans.fixpoint import folder
 from graphloom.registry import query
 from graphloom.sources import formats as fm
 from graphloom.streaming import windows
 
 
-def folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    atexit.register(drop)
-    return path
-
-
 def cfg_tables(spark, d) -> tuple[DataFrame, DataFrame]:
-    blk = dv.blocks(spark, d, dv.SQL_USERS)
+    blk = dv.blocks(spark, d)
     edges = dv.cfg_edges(blk).select("fn", F.col("s").alias("src"), F.col("d").alias("ordinal"), F.col("d").alias("dst"))
     return blk.select("fn", F.col("b").alias("block"), F.col("v").alias("n_elements"), F.when(F.col("et") == "view", "StmtBranch").alias("term_kind"), (F.col("b") == 1).alias("is_entry"), (F.col("b") == F.col("n")).alias("is_exit"), F.array("et").alias("kinds")), edges
 
@@ -74,12 +55,19 @@ def _(spark, d):
     return fm.read_cfg_json(spark, path)[1].select("fn", F.col("block").cast("long").alias("block"), "kind")
 
 
-@query("cg_json_roundtrip", "SELECT DISTINCT l_returnflag AS file, l_suppkey::VARCHAR AS \"from\", (l_partkey % (SELECT count(*) FROM supplier))::VARCHAR AS \"to\", l_orderkey AS line, l_linenumber::BIGINT AS col FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.1")
+FILE = "(src - src % 40) // 40"
+
+
+def by_file(spark, d) -> DataFrame:
+    """Sites with the file that holds them, one for each unit of functions: what a document gathers doesn't grow with the table."""
+    return units(spark, d).withColumn("file", F.floor(F.col("src") / dv.UNIT).cast("string"))
+
+
+@query("cg_json_roundtrip", "WITH " + dv.CG + " SELECT DISTINCT (" + FILE + ")::VARCHAR AS file, src::VARCHAR AS \"from\", dst::VARCHAR AS \"to\", line, col FROM cg")
 def _(spark, d):
-    u = units(spark, d).withColumnRenamed("tu", "file").distinct()
-    n, p = graph(spark, d)
-    own = u.select("file", F.col("src").alias("fn")).union(u.select("file", F.col("dst").alias("fn"))).distinct()
-    labels = cg.components(n, p)
+    u = by_file(spark, d).drop("tu").distinct()
+    own = u.select("file", F.explode(F.array("src", "dst")).alias("fn")).distinct()
+    labels = cg.components(*graph(spark, d))
     nodes = own.join(labels, "fn").select("file", F.col("fn").cast("string").alias("name"), F.lit("def").alias("kind"), F.col("label").cast("int").alias("scc"), F.col("cyclic").alias("recursive"))
     edges = u.select("file", F.col("src").cast("string").alias("from"), F.col("dst").cast("string").alias("to"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), F.lit("call").alias("kind"))
     sccs = own.join(labels, "fn").groupBy("file", F.col("label").cast("int").alias("id")).agg(F.bool_or("cyclic").alias("cyclic"), F.array_sort(F.collect_list(F.col("fn").cast("string"))).alias("members"))
@@ -88,9 +76,9 @@ def _(spark, d):
     return fm.read_call_graph_json(spark, path)[1].select("file", "from", "to", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"))
 
 
-@query("merge_json_load", TU + " SELECT tu, key::VARCHAR AS key, CASE WHEN bool_or(def) THEN 'def' ELSE 'decl' END AS kind FROM seen GROUP BY tu, key")
+@query("merge_json_load", "WITH " + dv.CG + ", t AS (SELECT (" + FILE + ") || tu AS tu, src, dst FROM cg), seen AS (SELECT tu, src AS key, true AS def FROM t UNION ALL SELECT tu, dst, false FROM t) SELECT tu, key::VARCHAR AS key, CASE WHEN bool_or(def) THEN 'def' ELSE 'decl' END AS kind FROM seen GROUP BY tu, key")
 def _(spark, d):
-    u = units(spark, d)
+    u = by_file(spark, d).withColumn("tu", F.concat("file", "tu"))
     seen = u.select("tu", F.col("src").alias("key"), F.lit(True).alias("def")).union(u.select("tu", F.col("dst").alias("key"), F.lit(False).alias("def")))
     nodes = seen.groupBy("tu", "key").agg(F.bool_or("def").alias("def")).select("tu", F.col("key").cast("string").alias("name"), F.col("key").cast("string").alias("key"), F.when(F.col("def"), "def").otherwise("decl").alias("kind"))
     edges = u.select("tu", F.col("src").cast("string").alias("from"), F.col("dst").cast("string").alias("to"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"))
@@ -99,11 +87,10 @@ def _(spark, d):
     return fm.read_merge_json(spark, path)[0].select("tu", "key", "kind")
 
 
-@query("dot_roundtrip", "WITH " + dv.cg_sql(48) + " SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, count(*) AS n FROM cg GROUP BY src, dst")
+@query("dot_roundtrip", "WITH " + dv.CG + " SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, count(*) AS n FROM cg GROUP BY src, dst")
 def _(spark, d):
-    s = sites(spark, d, 48)
     path = folder(spark)
-    fm.dot_documents(s.withColumn("graph", (F.col("src") % 7).cast("string"))).write.parquet(path)
+    fm.dot_documents(by_file(spark, d).withColumnRenamed("file", "graph")).write.parquet(path)
     return fm.read_dot(spark.read.schema("graph string, text string").parquet(path)).select("src", "dst", "n")
 
 

@@ -51,16 +51,16 @@ def sink_levels(nodes: DataFrame, edges: DataFrame, sinks: DataFrame | list[int]
     return fx.on_whole(nodes, edges.select("src", "dst").distinct(), whole, "fn long, level string, iter long", fx.chosen(nodes, sinks))
 
 
-def contexts(nodes: DataFrame, sites: DataFrame, entries: DataFrame, k: int, limit: int = MAX_CONTEXTS) -> DataFrame:
+def contexts(nodes: DataFrame, sites: DataFrame, entries: DataFrame, k: int, limit: int | None = MAX_CONTEXTS) -> DataFrame:
     """(fn, string, value): the at most k latest call sites by which a function is reached, and what its argument may be.
 
     A set-oriented fixpoint: contexts meet call edges, strings are cut to k, values of equal contexts join (bit 1 zero, bit 2 not zero), and only
-    contexts whose value grew are extended. The argument of a site is zero, not zero or the caller's own by its column modulo 3.
+    contexts whose value grew are extended. More than limit contexts, if there is one, are refused. The argument of a site is zero, not zero or the caller's own by its column modulo 3.
     """
     step = sites.select("src", "dst", F.concat_ws(":", F.col("src").cast("string"), F.col("line").cast("string"), F.col("col").cast("string")).alias("site"), (F.col("col") % 3).alias("arg")).distinct()
     seen = front = fx.written(entries.select("fn", F.array().cast("array<string>").alias("string"), F.lit(3).alias("value")).distinct())
     while True:
-        if seen.count() > limit:
+        if limit is not None and seen.count() > limit:
             raise TooManyContexts(f"more than {limit} contexts")
         called = front.join(step, front.fn == step.src)
         string = F.concat("string", F.array("site"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import callgraph as cg
 from graphloom.operators import interproc as ip
-from graphloom.operators.graph_queries import BFS, G, graph, sites
+from graphloom.operators.graph_queries import BFS, G, graph
 from graphloom.plans import derive as dv
+from graphloom.plans import fixpoint as fx
 from graphloom.registry import query
 
 SINKS = "(SELECT fn FROM nodes WHERE fn % 17 = 5)"
@@ -31,11 +32,11 @@ def _(spark, d):
 
 @query("sink_levels")
 def _(spark, d):
-    n, p = graph(spark, d, None)
+    n, p = graph(spark, d)
     return ip.sink_levels(n, p, sinks(n))
 
 
-@query("sink_shortest_len", G + "l AS (SELECT fn, 0::BIGINT AS level FROM " + SINKS + " UNION SELECT src, level + 1 FROM l JOIN p ON p.dst = l.fn WHERE level < (SELECT count(*) FROM nodes)) SELECT fn, min(level) AS level FROM l GROUP BY fn")
+@query("sink_shortest_len", G + "l AS (SELECT fn, 0::BIGINT AS level FROM " + SINKS + " UNION SELECT src, level + 1 FROM l JOIN p ON p.dst = l.fn WHERE level < 41) SELECT fn, min(level) AS level FROM l GROUP BY fn")
 def _(spark, d):
     n, p = graph(spark, d)
     return cg.reach(n, p, sinks(n), backwards=True)
@@ -48,9 +49,9 @@ def ctx(k: int):
 
     @query(f"ctx_k{k}", sql)
     def _(spark, d):
-        n, s = dv.call_nodes(spark, d, dv.SQL_QUANTITY), sites(spark, d)
+        n, s = dv.call_nodes(spark, d), dv.call_sites(spark, d)
         entries = n.join(s.select(F.col("dst").alias("fn")), "fn", "left_anti")
-        return ip.contexts(n, s, entries, k).select("fn", F.array_join("string", " ").alias("string"), "value")
+        return ip.contexts(n, s, entries, k, limit=None).select("fn", F.array_join("string", " ").alias("string"), "value")
 
     return sql
 
@@ -66,7 +67,7 @@ def _(spark, d):
     return c.groupBy("fn").agg(F.count(F.lit(1)).alias("contexts"), F.count(F.when(F.col("value") % 2 == 1, 1)).alias("warnings"))
 
 
-CLASSES = "parts AS (SELECT DISTINCT string_split(p_type, ' ') AS w FROM part), base AS (SELECT DISTINCT array_to_string(w[:i], ' ') AS sub, CASE WHEN i = 1 THEN 'ANY' ELSE array_to_string(w[:i - 1], ' ') END AS sup FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM parts)), tree AS (SELECT sub AS sup, sub FROM base UNION SELECT sup, sup FROM base UNION SELECT tree.sup, base.sub FROM tree JOIN base ON base.sup = tree.sub), concrete AS (SELECT DISTINCT p_type AS class FROM part), vs AS (SELECT DISTINCT p_partkey AS site, string_split(p_type, ' ')[1] AS static_class FROM part WHERE p_partkey % 20 = 0), made AS (SELECT DISTINCT p_type AS class FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 49)"
+CLASSES = "parts AS (SELECT DISTINCT string_split(p_type, ' ') AS w FROM part), base AS (SELECT DISTINCT array_to_string(w[:i], ' ') AS sub, CASE WHEN i = 1 THEN 'ANY' ELSE array_to_string(w[:i - 1], ' ') END AS sup FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM parts)), tree AS (SELECT sub AS sup, sub FROM base UNION SELECT sup, sup FROM base UNION SELECT tree.sup, base.sub FROM tree JOIN base ON base.sup = tree.sub), concrete AS (SELECT DISTINCT p_type AS class FROM part), vs AS (SELECT DISTINCT p_partkey AS site, string_split(p_type, ' ')[1] AS static_class FROM part), made AS (SELECT DISTINCT p_type AS class FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 49)"
 
 
 def hierarchy(spark, d):
@@ -75,7 +76,7 @@ def hierarchy(spark, d):
     steps = words.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
     base = steps.select(F.array_join(F.slice("w", F.lit(1), F.col("i")), " ").alias("sub"), F.when(F.col("i") == 1, "ANY").otherwise(F.array_join(F.slice("w", F.lit(1), F.greatest(F.col("i") - 1, F.lit(1))), " ")).alias("sup")).distinct()
     classes = base.select(F.col("sub").alias("class")).join(part.select(F.col("p_type").alias("class"), F.lit(False).alias("abstract")).distinct(), "class", "left").select("class", F.coalesce("abstract", F.lit(True)).alias("abstract"))
-    calls = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("site"), F.split("p_type", " ")[0].alias("static_class")).distinct()
+    calls = part.select(F.col("p_partkey").alias("site"), F.split("p_type", " ")[0].alias("static_class")).distinct()
     return ip.descendants(base), classes, calls
 
 
@@ -104,10 +105,10 @@ def _(spark, d):
     return ip.resolve_virtual(calls, tree, classes, made(spark, d)).distinct()
 
 
-@query("resolve_fnptr", "SELECT DISTINCT p_partkey AS site, s_suppkey AS target FROM part JOIN supplier ON p_size % 25 = s_nationkey WHERE p_partkey % 10 = 0 AND s_suppkey % 3 = 0")
+@query("resolve_fnptr", "SELECT DISTINCT p_partkey AS site, s_suppkey AS target FROM part JOIN supplier ON p_size % 25 = s_nationkey")
 def _(spark, d):
-    calls = dv.table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("site"), (F.col("p_size") % 25).alias("fn_type"))
-    taken = dv.table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("fn_type"))
+    calls = dv.table(spark, d, "part").select(F.col("p_partkey").alias("site"), (F.col("p_size") % 25).alias("fn_type"))
+    taken = dv.table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("fn_type"))
     return ip.resolve_pointers(calls, taken).distinct()
 
 
@@ -120,13 +121,11 @@ def _(spark, d):
     return parts.agg(n("s").alias("indirect"), F.countDistinct(F.when(F.col("k") == "r", F.col("site"))).alias("resolved"), n("r").alias("edges_rta"), n("c").alias("edges_cha"))
 
 
-TU = "WITH t AS (SELECT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst, l_orderkey AS line, l_linenumber::BIGINT AS col, l_returnflag AS tu FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.1), seen AS (SELECT src AS key, tu, true AS def FROM t UNION ALL SELECT dst, tu, false FROM t), d AS (SELECT DISTINCT src AS key, tu FROM t)"
+TU = "WITH " + dv.CG + ", t AS (SELECT src, dst, line, col, tu FROM cg), seen AS (SELECT src AS key, tu, true AS def FROM t UNION ALL SELECT dst, tu, false FROM t), d AS (SELECT DISTINCT src AS key, tu FROM t)"
 
 
 def units(spark, d):
-    n = dv.table(spark, d, "supplier").count()
-    rows = dv.table(spark, d, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.1")
-    return rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").cast("long").alias("col"), F.col("l_returnflag").alias("tu"))
+    return dv.calls(spark, d).select("src", "dst", "line", "col", "tu")
 
 
 @query("merge_nodes", TU + " SELECT key, bool_or(def) AS def, coalesce(string_agg(DISTINCT tu, ',' ORDER BY tu) FILTER (def), '') AS def_tus, string_agg(DISTINCT tu, ',' ORDER BY tu) AS seen_tus FROM seen GROUP BY key")
@@ -157,13 +156,13 @@ def _(spark, d):
     return ip.unique_names(dv.table(spark, d, "part").select(F.col("p_partkey").alias("fn"), F.split("p_name", " ")[0].alias("base"), F.col("p_brand").alias("signature"), F.col("p_size").cast("long").alias("line")))
 
 
-MULTI = "WITH a AS (SELECT l_suppkey % 20 AS src, l_partkey % 20 AS dst FROM lineitem WHERE l_quantity >= 49), b AS (SELECT l_suppkey % 20 AS src, l_partkey % 20 AS dst FROM lineitem WHERE l_discount >= 0.1 AND l_quantity >= 45), k AS (SELECT src, dst, count(*) FILTER (w = 1) AS x, count(*) FILTER (w = 2) AS y FROM (SELECT *, 1 AS w FROM a UNION ALL SELECT *, 2 FROM b) GROUP BY src, dst)"
+MULTI = "WITH " + dv.CG + ", a AS (SELECT src, dst FROM cg WHERE NOT guarded), b AS (SELECT src, dst FROM cg WHERE tu <> 'N'), k AS (SELECT src, dst, count(*) FILTER (w = 1) AS x, count(*) FILTER (w = 2) AS y FROM (SELECT *, 1 AS w FROM a UNION ALL SELECT *, 2 FROM b) GROUP BY src, dst)"
 
 
 def two_graphs(spark, d):
-    li = dv.table(spark, d, "lineitem")
-    ends = (F.col("l_suppkey") % 20).alias("src"), (F.col("l_partkey") % 20).alias("dst")
-    return li.where("l_quantity >= 49").select(*ends), li.where("l_discount >= 0.1 AND l_quantity >= 45").select(*ends)
+    """What two builders see: one leaves out guarded calls, the other a unit."""
+    c = dv.calls(spark, d)
+    return c.where("NOT guarded").select("src", "dst"), c.where("tu <> 'N'").select("src", "dst")
 
 
 @query("multiset_diff_graphs", MULTI + " SELECT src, dst, least(x, y) AS \"both\", greatest(x - y, 0) AS only_a, greatest(y - x, 0) AS only_b FROM k")
@@ -189,9 +188,9 @@ def _(spark, d):
     return ip.match_one_to_one(e.where("value >= 50"), e.where("id % 2 = 0"), ["line", "kind"])
 
 
-@query("site_classes", "WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS site, CASE WHEN l_tax = 0 THEN NULL ELSE l_partkey % 120 END AS callee, l_quantity >= 25 AS edge FROM lineitem WHERE l_discount >= 0.09), g AS (SELECT DISTINCT site FROM x WHERE edge) SELECT class, count(*) AS n FROM (SELECT CASE WHEN callee IS NULL THEN 'missing:indirect' WHEN site IN (SELECT site FROM g) THEN 'resolved' WHEN callee NOT IN (SELECT s_suppkey FROM supplier) THEN 'missing:node' ELSE 'missing:edge' END AS class FROM x) GROUP BY class")
+@query("site_classes", "WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS site, CASE WHEN l_tax = 0 THEN NULL ELSE l_partkey % 120 END AS callee, l_quantity >= 25 AS edge FROM lineitem), g AS (SELECT DISTINCT site FROM x WHERE edge) SELECT class, count(*) AS n FROM (SELECT CASE WHEN callee IS NULL THEN 'missing:indirect' WHEN site IN (SELECT site FROM g) THEN 'resolved' WHEN callee NOT IN (SELECT s_suppkey FROM supplier) THEN 'missing:node' ELSE 'missing:edge' END AS class FROM x) GROUP BY class")
 def _(spark, d):
-    li = dv.table(spark, d, "lineitem").where("l_discount >= 0.09").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("site"), F.when(F.col("l_tax") != 0, F.col("l_partkey") % 120).alias("callee"), (F.col("l_quantity") >= 25).alias("edge"))
+    li = dv.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("site"), F.when(F.col("l_tax") != 0, F.col("l_partkey") % 120).alias("callee"), (F.col("l_quantity") >= 25).alias("edge"))
     fns = dv.table(spark, d, "supplier").select(F.col("s_suppkey").alias("fn"))
     return ip.classify_sites(li.select("site", "callee"), li.where("edge"), fns).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
@@ -220,9 +219,9 @@ def _(spark, d):
     return kinds.join(counts, "kind", "left").select("kind", F.coalesce("c", F.lit(0)).cast("long").alias("n"))
 
 
-@query("occurrence_dedupe", "SELECT l_suppkey AS caller, l_partkey % 50 AS callee, l_linenumber::BIGINT AS line, bool_or(l_returnflag = 'R') AS dyn, bool_or(l_linestatus = 'O') AS impl, bool_and(l_tax > 0.04) AS no_rel_call FROM lineitem WHERE l_quantity >= 45 GROUP BY ALL")
+@query("occurrence_dedupe", "SELECT l_suppkey AS caller, l_partkey % 50 AS callee, l_linenumber::BIGINT AS line, bool_or(l_returnflag = 'R') AS dyn, bool_or(l_linestatus = 'O') AS impl, bool_and(l_tax > 0.04) AS no_rel_call FROM lineitem GROUP BY ALL")
 def _(spark, d):
-    o = dv.table(spark, d, "lineitem").where("l_quantity >= 45")
+    o = dv.table(spark, d, "lineitem")
     return o.groupBy(F.col("l_suppkey").alias("caller"), (F.col("l_partkey") % 50).alias("callee"), F.col("l_linenumber").cast("long").alias("line")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("dyn"), F.bool_or(F.col("l_linestatus") == "O").alias("impl"), F.bool_and(F.col("l_tax") > 0.04).alias("no_rel_call"))
 
 
@@ -233,10 +232,8 @@ def _(spark, d):
     return t.select("id", F.when(F.length("s") > 24, F.concat(F.substring("s", 1, 21), F.lit("..."))).otherwise(F.col("s")).alias("text"), F.when(F.instr("s", " ") > 0, F.concat(F.lit('"'), "s", F.lit('"'))).otherwise(F.col("s")).alias("quoted"))
 
 
-@query("incremental_growth", "WITH f AS (SELECT l_suppkey AS fn, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.1 GROUP BY l_suppkey) SELECT fn, first, row_number() OVER (ORDER BY first, fn) AS size FROM f")
+@query("incremental_growth", "WITH f AS (SELECT l_orderkey AS fn, min(l_partkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY l_orderkey) SELECT fn, first, row_number() OVER (ORDER BY first, fn) AS size FROM f")
 def _(spark, d):
-    """How many functions are known when each is first mentioned: sites shrink to one row per function before anything is ranked."""
-    from pyspark.sql import Window
-
+    """How many functions are known when each is first mentioned: sites shrink to one row per function, which are numbered without being gathered."""
     first = units(spark, d).groupBy(F.col("src").alias("fn")).agg(F.min(F.col("line") * 10 + F.col("col")).alias("first"))
-    return first.withColumn("size", F.row_number().over(Window.orderBy("first", "fn")).cast("long"))
+    return fx.numbered(first, ["first", "fn"], "size")

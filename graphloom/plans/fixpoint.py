@@ -6,26 +6,32 @@ Rounds write their state to the folder in spark.checkpoint.dir, which outlives e
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Edges up to which a whole graph goes to one task; it holds some hundred bytes for each.
+#: Edges up to which a whole graph goes to one task; it holds some hundred bytes for each. A graph of more is answered in rounds of joins, with the same rows.
 WHOLE = 1_000_000
 
 
-def written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+@functools.cache
+def local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="graphloom-")
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which goes when the session ends. Only a local master, whose executors are this machine, may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = local_root()
     path = f"{root.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
 
     def drop() -> None:
         if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
@@ -33,7 +39,29 @@ def written(df: DataFrame) -> DataFrame:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, keys: list[str] | None = None) -> DataFrame:
+    """rows with their number from 1 in the order of the columns, in each group of keys if there are any. Rows are dealt by ranges of the order, each range is numbered, and the ranges before it are added: no range, and no group, is one task's."""
+    keys = keys or []
+    by = [*keys, *order]
+    own = Window.partitionBy("_range").orderBy(*by)
+    dealt = written(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")  # one row for each range
+    out = dealt.withColumn(name, F.row_number().over(own).cast("long")).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+    if not keys:
+        return out
+    out = written(out)
+    first = out.groupBy(*keys).agg(F.min(name).alias("_first"))
+    return out.join(first, keys).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first").select(*rows.columns, name)
 
 
 def per_function(facts: DataFrame, kernel: Callable[[int, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
@@ -46,7 +74,8 @@ def per_function(facts: DataFrame, kernel: Callable[[int, pd.DataFrame], list[tu
     return facts.groupBy("fn").applyInPandas(of, schema)
 
 
-def is_small(edges: DataFrame, limit: int = WHOLE) -> bool:
+def is_small(edges: DataFrame, limit: int | None = None) -> bool:
+    limit = WHOLE if limit is None else limit
     return edges.limit(limit + 1).count() <= limit
 
 

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries; here, and not above, as they import this one."""
-    from graphloom.operators import checker_queries, format_queries, graph_queries, interproc_queries  # noqa: F401
+    from graphloom.operators import checker_queries, format_queries, graph_queries, interproc_queries, view_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
