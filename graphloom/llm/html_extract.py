@@ -1,8 +1,13 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page becomes a flat list of text blocks. The features of a block are its words, the density of its words in links, both of the blocks before and
-behind it, and what encloses it: something that holds an article, something that holds other matter, or neither. A decision tree,
-grown by Gini impurity on a small labelled table, says which blocks are the main text.
+behind it, and one of structure, its place: inside an article (1), neither (0), in something that its names only call other matter (-1), or in an
+element that is other matter (-2). A decision tree, grown by Gini impurity on a small table of labelled pages, says which blocks are the main text.
+Without names or elements that tell, words and links of a block and its neighbours decide alone; within an article runs of links go; what is only named
+as other matter stays if it is long text among long text.
+
+Names are whole words of class, id and role. One that also has other words than general ones (`social-security`, `notice-period`) tells nothing, and
+neither does the head of an article (`entry-header`, a header element in an article).
 
 Defined cases: a null, empty or blank html gives an empty text; a page without block tags is one block; tags that are never closed reach to the
 end of what encloses them; scripts, styles and comments never are text; rows of equal page_id are separate; other columns are ignored.
@@ -33,20 +38,41 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES_P = BLOCK - {"html", "body", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 OTHER_TAGS = frozenset("head nav header footer aside form menu dialog button fieldset search label".split())
 ARTICLE_TAGS = frozenset("article main".split())
-# Words in class, id and role by which pages mark what isn't the article, and what is.
-OTHER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentary complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup print promo promoted promotion rail related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar widget widgets".split())
+# Words in class, id and role by which pages mark what isn't the article, and what is.
+PARTS_OF_PAGES = frozenset("breadcrumb breadcrumbs contentinfo footer header login masthead menu menubar modal nav navbar navigation pager pagination rail sidebar toc toolbar topbar".split())
+ASIDES = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner banners byline complementary consent cookie cookies copyright disclaimer gdpr newsletter notice notices notification paywall popup promo promoted promotion related rss search share sharing signup skip social sponsor sponsored subscribe subscription tags teaser widget widgets".split())
 COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
-ARTICLE_NAMES = frozenset("article articlebody content entry main post story".split())
+ARTICLE_NAMES = frozenset("article articlebody entry post story".split())
+#: Words that say nothing beside such a name.
+GENERAL = frozenset("area author bar block body bottom box btn button buttons card col column container content desktop form global google icon icons inline inner item items left link links list main meta mobile module outer page panel posts primary right row secondary section site slot sticky text thread title top unit wide wrap wrapper".split())
 FEATURES = ("place", "words", "links", "words_before", "links_before", "words_behind", "links_behind")
-#: place: 1 inside an article, 0 neither, -1 inside something else. A row per kind of block, as labelled by hand: the features, then 1 for main text.
+#: Labelled pages, a line each, as read by hand: place, words, link density, and 1 for main text, of each block in order.
 LABELLED = """
-1 60 0 40 0 50 0 1|1 9 0 2 0 60 0 1|1 1 0 70 0 45 0 1|1 3 0 0 0 1 0 1|1 120 .05 30 0 25 0 1|1 12 .5 40 0 50 0 1|1 2 1 30 0 40 0 1|1 5 0 8 1 12 0 1|1 30 .2 0 0 0 0 1|1 200 0 9 0 6 0 1
-1 6 1 4 1 60 0 1|1 15 0 20 .3 3 0 1|1 40 0 3 1 2 1 1|1 8 0 8 0 4 0 1|1 1 0 1 0 1 0 1|1 300 .01 200 0 150 0 1
-1 1 0 1 0 2 .5 1|1 20 0 5 0 3 1 1|1 4 0 4 0 4 1 1|1 2 .5 1 0 1 0 1|1 50 0 20 0 3 .8 1|1 9 0 9 0 1 1 1|1 1 0 0 0 3 .6 1|1 2 1 3 0 2 1 1
--1 1 1 0 0 1 1 0|-1 2 1 1 1 2 1 0|-1 8 0 2 1 12 0 0|-1 60 0 40 0 50 0 0|-1 7 0 50 0 0 0 0|-1 25 .1 30 0 20 0 0|-1 3 0 60 0 1 1 0|-1 120 0 6 0 40 0 0|-1 45 0 9 0 200 0 0|-1 5 .4 70 0 3 0 0
--1 90 0 90 0 90 0 0|-1 4 0 4 0 4 0 0|-1 15 0 0 0 60 0 0|-1 200 .02 30 0 20 0 0|-1 1 0 300 0 0 0 0|-1 33 .3 10 1 5 1 0
-0 70 0 50 0 60 0 1|0 40 .05 60 0 8 0 1|0 25 0 90 0 40 0 1|0 120 0 2 1 100 0 1|0 18 0 60 0 45 0 1|0 9 0 3 1 80 0 1|0 6 0 90 0 70 0 1|0 200 .02 0 0 0 0 1|0 35 0 0 0 30 0 1|0 22 .1 40 0 30 .1 1|0 14 0 30 0 25 0 1|0 11 0 0 0 90 0 1|0 11 0 0 0 0 0 1|0 4 0 0 0 0 0 1|0 2 0 0 0 0 0 1|0 1 0 0 0 0 0 1|0 45 0 0 0 0 0 1|0 50 0 70 0 4 1 1|0 80 .05 30 0 3 .9 1
-0 2 1 1 1 2 1 0|0 1 1 0 0 1 1 0|0 4 1 2 1 3 1 0|0 6 .8 3 1 4 1 0|0 3 0 2 1 2 1 0|0 12 .9 5 1 6 .8 0|0 25 .7 10 .8 12 .9 0|0 5 0 2 1 4 .9 0|0 4 .6 90 0 3 1 0|0 8 0 4 1 5 1 0|0 40 .8 30 .9 25 .8 0|0 60 .9 3 1 2 1 0|0 3 0 3 0 2 1 0
+-2 2 1 0|-2 1 1 0|-2 1 1 0|-1 8 0 0|1 9 0 1|1 55 0 1|1 80 .05 1|1 12 0 1|1 2 0 1|1 40 .1 1|-2 11 0 0
+-2 1 1 0|-2 3 1 0|-1 14 0 0|1 6 0 1|1 30 .2 1|1 1 0 1|1 4 0 1|-1 25 .1 0|1 70 0 1|1 3 0 1|-2 9 .4 0|-2 60 0 0|-2 35 0 0
+-2 12 0 0|1 1 0 1|1 120 0 1|1 8 .5 1|1 200 .01 1|-2 45 0 0|-2 120 0 0|-2 8 0 0
+1 7 0 1|1 50 0 1|1 3 1 0|1 4 1 0|1 5 1 0|1 60 0 1|1 6 1 1|1 44 0 1|1 2 1 0|1 2 1 0|1 3 1 0
+-1 5 0 0|1 2 0 1|1 90 0 1|1 25 1 1|1 15 0 1|1 4 1 0|1 7 1 0|-1 3 1 0|-2 4 0 0
+0 1 1 0|0 2 1 0|0 1 1 0|0 7 0 1|0 60 0 1|0 35 .1 1|0 5 0 1|0 90 0 1|0 14 0 1|0 3 1 0|0 2 1 0|0 4 .8 0
+0 2 1 0|0 3 1 0|0 4 0 0|0 2 1 0|0 3 1 0|0 5 0 0|0 2 1 0|0 1 1 0|0 6 .7 0|0 3 1 0
+0 11 0 1
+0 4 0 1|0 30 0 1|0 3 0 1
+0 3 1 0|0 9 0 1|0 22 .1 1|0 18 0 1|0 6 0 1|0 2 1 0|0 4 1 0|0 25 .9 0|0 12 .8 0
+0 5 1 0|0 3 0 0|0 5 1 0|0 8 0 1|0 150 .02 1|0 2 0 1|0 40 0 1|0 1 1 0|0 3 0 0|0 2 1 0
+0 60 0 1|0 10 .3 1|0 200 0 1|0 40 .8 0|0 30 .9 0|0 60 .9 0
+0 2 0 1|0 1 0 1
+-1 140 0 1|-1 120 .02 1|-1 110 0 1|-1 6 0 0|-2 5 1 0
+-1 10 0 0|0 130 0 1|-1 30 0 0|0 100 0 1|-1 60 .1 0|1 90 0 1|-1 45 0 0|1 130 0 1|-1 100 1 0|0 50 0 1
+1 5 0 1|1 20 0 1|1 4 1 1|1 30 0 1|1 2 1 1|1 18 0 1|-2 3 1 0
+0 5 0 1|0 40 0 1|0 3 1 1|0 50 0 1|0 30 0 1|0 8 1 1|0 16 0 1
+1 60 0 1|1 3 1 0|1 2 1 0|1 4 1 0|-2 5 1 0
+-2 2 1 0|1 1 0 1|1 40 0 1
+-2 1 1 0|-2 1 1 0|1 3 0 1|1 4 0 1|1 50 0 1
+0 1 1 0|0 1 1 0|0 4 0 1|0 50 0 1|0 3 1 0
+0 2 1 0|0 3 0 1|0 25 0 1|0 6 0 1
+0 70 0 1|0 2 1 0|0 3 1 0|0 2 1 0
+1 30 0 1|1 2 0 1|1 1 1 1|1 27 0 1|1 3 0 1|1 2 1 1|1 40 0 1
+-2 90 0 0|1 8 0 1|1 33 .3 1|-2 25 .1 0|-2 200 0 0|1 12 0 1|-2 1 1 0|-2 2 0 0
 """
 
 
@@ -85,31 +111,54 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 2) -> Tree:
     return node
 
 
+def with_neighbours(blocks: list[tuple[float, float, float]]) -> list[tuple[float, ...]]:
+    """The features of each block of a page from (place, words, links) of all; nothing lies before the first and behind the last."""
+    sizes = [(0.0, 0.0), *((words, links) for _, words, links in blocks), (0.0, 0.0)]
+    return [(place, *sizes[k + 1], *sizes[k], *sizes[k + 2]) for k, (place, _, _) in enumerate(blocks)]
+
+
 def learned() -> Tree:
-    rows = np.array([[float(v) for v in r.split()] for line in LABELLED.strip().split("\n") for r in line.split("|")])
-    return grow(rows[:, :-1], rows[:, -1])
+    x, y = [], []
+    for line in LABELLED.strip().split("\n"):
+        blocks = [tuple(map(float, b.split())) for b in line.split("|")]
+        x += with_neighbours([b[:3] for b in blocks])
+        y += [b[3] for b in blocks]
+    return grow(np.array(x), np.array(y))
 
 
 TREE = learned()
+OTHER, NAMED, NEITHER, ARTICLE, COMMENTS = -2, -1, 0, 1, -3
 
 
-def place_of(tag: str, attributes: str) -> int | None:
-    """What the element says of its own matter: 1 article, -1 other, -2 readers' comments, None nothing."""
-    names = {p.lower() for m in NAME.finditer(attributes) for p in PART.findall(m[1] or m[2] or m[3] or "")} if attributes else set()
+def place_of(tag: str, attributes: str, outer: int) -> int | None:
+    """What the element says of its own matter, or None: ARTICLE, NAMED, OTHER, or COMMENTS, which are OTHER whatever they hold."""
     if tag in ("html", "body"):
         return None
-    if names & COMMENT_NAMES:
-        return -2
-    if tag in ARTICLE_TAGS:
-        return 1
-    if tag in OTHER_TAGS or names & OTHER_NAMES or attributes and HIDDEN.search(attributes):
-        return -1
-    return 1 if names & ARTICLE_NAMES and tag in BLOCK else None
+    found = OTHER if tag in OTHER_TAGS and not (tag in ("header", "label") and outer == ARTICLE) else ARTICLE if tag in ARTICLE_TAGS else None
+    if not attributes:
+        return found
+    if HIDDEN.search(attributes):
+        return COMMENTS
+    for m in NAME.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w for p in PART.findall(name) if len(w := p.lower()) > 1}
+            told = words - GENERAL
+            if told & COMMENT_NAMES and told <= COMMENT_NAMES | ARTICLE_NAMES:
+                return COMMENTS
+            if not told or not told <= PARTS_OF_PAGES | ASIDES | ARTICLE_NAMES:
+                continue
+            if told & PARTS_OF_PAGES and not (told & ARTICLE_NAMES and "header" in told):
+                found = OTHER
+            elif told & ASIDES and found != OTHER:
+                found = NAMED
+            elif found is None and told <= ARTICLE_NAMES and tag in BLOCK:
+                found = ARTICLE
+    return found
 
 
 def inside(outer: int, own: int | None) -> int:
-    """Comments hold comments only; an article within other matter is an article, and other matter within an article is other matter."""
-    return outer if own is None or outer == -2 else own
+    """Comments hold comments only; an article within other matter is an article, and other matter within an article is other matter. A name doesn't weaken what an element around it says."""
+    return outer if own is None or outer == COMMENTS or outer == OTHER and own == NAMED else own
 
 
 class Blocks:
@@ -148,7 +197,7 @@ class Blocks:
     def flush(self) -> None:
         text = " ".join(entities.unescape("".join(self.text)).split())
         if text:
-            self.found.append((max(-1, self.open[-1][1]), text, min(1.0, self.linked / len(text.split()))))
+            self.found.append((max(OTHER, self.open[-1][1]), text, min(1.0, self.linked / len(text.split()))))
         self.text, self.linked = [], 0
 
     def begin(self, tag: str, attributes: str) -> None:
@@ -156,7 +205,7 @@ class Blocks:
             self.text.append("\n")
         if tag == "a":
             self.links = 1
-        place = place_of(tag, attributes)
+        place = place_of(tag, attributes, self.open[-1][1])
         if tag in BLOCK or place is not None:
             self.flush()
         if tag in CLOSES_P and any(t == "p" for t, _ in self.open):
@@ -184,14 +233,8 @@ class Blocks:
 
 def main_text(page: str, tree: Tree = TREE) -> str:
     blocks = Blocks(page).found
-    size = [(float(len(text.split())), links) for _, text, links in blocks]
-    edge = (0.0, 0.0)
-    kept = []
-    for k, (place, text, _) in enumerate(blocks):
-        before, behind = size[k - 1] if k else edge, size[k + 1] if k + 1 < len(size) else edge
-        if tree.says((float(place), *size[k], *before, *behind)):
-            kept.append(text)
-    return "\n".join(kept)
+    features = with_neighbours([(float(place), float(len(text.split())), links) for place, text, links in blocks])
+    return "\n".join(text for (_, text, _), x in zip(blocks, features, strict=True) if tree.says(x))
 
 
 def extract(pages: DataFrame) -> DataFrame:
