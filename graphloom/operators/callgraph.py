@@ -121,19 +121,39 @@ def back_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return fx.on_whole(nodes, edges, whole, "src long, dst long")
 
 
-def shortest_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(label, len): of each cyclic component the shortest cycle through its smallest member."""
+def cycle_chains(nodes: DataFrame, edges: DataFrame, small: bool | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """(label, cycle): of each cyclic component the shortest cycle through its smallest member, and of several the first by its members.
 
-    def whole(ns: list, es: list) -> list[tuple]:
-        g = dg.graph(ns, es)
-        out = []
-        for c in dg.components(g):
-            if dg.cyclic(g, c):
-                inside = set(c)
-                out.append((c[0], len(dg.shortest_chain(g, c[0], lambda x, t=c[0]: x == t, inside.__contains__)) - 1))
-        return out
-
-    return fx.on_whole(nodes, edges.select("src", "dst").distinct(), whole, "label long, len long")
+    Beyond a checked size: chains grow from each smallest member within its component, a call a round, and of those that meet at a function the first stays.
+    """
+    pairs = edges.select("src", "dst").distinct()
+    if fx.is_small(pairs) if small is None else small:
+
+        def whole(ns: list, es: list) -> list[tuple]:
+            g = {n: sorted(b) for n, b in dg.graph(ns, es).items()}
+            return [(c[0], ">".join(map(str, dg.shortest_chain(g, c[0], lambda x, t=c[0]: x == t, set(c).__contains__)))) for c in dg.components(g) if dg.cyclic(g, c)]
+
+        return fx.on_whole(nodes, pairs, whole, "label long, cycle string")
+    parts = fx.written(components(nodes, pairs, small=False).where("cyclic").select("fn", "label"))
+    own = lambda c, name: parts.select(F.col("fn").alias(c), F.col("label").alias(name))
+    inside = fx.written(pairs.join(own("src", "label"), "src").join(own("dst", "other"), "dst").where("label = other").select("label", "src", "dst"))
+    front = fx.written(parts.where("fn = label").select("label", F.col("fn").alias("at"), F.array("fn").alias("path")))
+    seen, found = front.select("label", F.lit(None).cast("long").alias("at")), None
+    for _ in range(max_rounds):
+        step = front.join(inside.withColumnRenamed("src", "at"), ["label", "at"]).select("label", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        new = fx.written(step.groupBy("label", "at").agg(F.min("path").alias("path")).join(seen, ["label", "at"], "left_anti"))
+        here = new.where("at = label")
+        found = here if found is None else found.unionByName(here)
+        front = fx.written(new.join(found.select("label"), "label", "left_anti"))
+        if front.isEmpty():
+            return found.select("label", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"))
+        seen = seen.unionByName(front.select("label", "at"))
+    raise RuntimeError(f"not settled in {max_rounds} rounds")
+
+
+def shortest_cycles(nodes: DataFrame, edges: DataFrame, small: bool | None = None) -> DataFrame:
+    """(label, len): how long these are."""
+    return cycle_chains(nodes, edges, small).select("label", (F.size(F.split("cycle", ">")) - 1).cast("long").alias("len"))
 
 
 def metrics(nodes: DataFrame, sites: DataFrame, entries: DataFrame) -> DataFrame:

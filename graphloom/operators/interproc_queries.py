@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import callgraph as cg
 from graphloom.operators import interproc as ip
-from graphloom.operators.graph_queries import BFS, G, graph
+from graphloom.operators.graph_queries import SCC, G, graph
 from graphloom.plans import derive as dv
 from graphloom.plans import fixpoint as fx
 from graphloom.registry import query
@@ -18,22 +18,45 @@ def sinks(nodes):
     return nodes.where("fn % 17 = 5")
 
 
-@query("sink_may", G + "r AS (SELECT fn FROM " + SINKS + " UNION SELECT src FROM r JOIN p ON dst = fn) SELECT * FROM r")
+MAY = "l AS (SELECT fn, 0::BIGINT AS level FROM " + SINKS + " UNION SELECT src, level + 1 FROM l JOIN p ON p.dst = l.fn WHERE level < 41), may AS (SELECT fn, min(level) AS may FROM l GROUP BY fn)"
+ROUNDS = G + MAY + ", q AS (SELECT DISTINCT src, dst FROM cg WHERE NOT guarded), a AS (SELECT fn, 0::BIGINT AS level FROM " + SINKS + " UNION SELECT src, level + 1 FROM a JOIN q ON q.dst = a.fn WHERE level < 41), al AS (SELECT fn, min(level) AS always FROM a GROUP BY fn), rounds AS (SELECT fn, may, always FROM nodes LEFT JOIN may USING (fn) LEFT JOIN al USING (fn))"
+
+
+def rounds(spark, d):
+    """A call that isn't guarded lies on every way to the exit, which SQL makes use of; here the exit must be out of reach without the blocks that end in a sink."""
+    body, n = dv.bodies(spark, d), dv.call_nodes(spark, d)
+    return ip.sink_rounds(n, body.select("fn", "block", "dst"), dv.body_edges(body), sinks(n))
+
+
+@query("sink_may", ROUNDS + " SELECT fn FROM rounds WHERE may IS NOT NULL")
 def _(spark, d):
-    n, p = graph(spark, d)
-    return ip.sink_levels(n, p, sinks(n)).where("level <> 'none'").select("fn")
+    return ip.sink_levels(rounds(spark, d)).where("level <> 'none'").select("fn")
 
 
-@query("sink_always", G + "r AS (SELECT fn FROM " + SINKS + " UNION SELECT src FROM r JOIN p ON dst = fn AND dst % 2 <> 0) SELECT * FROM r")
+@query("sink_always", ROUNDS + " SELECT fn FROM rounds WHERE always IS NOT NULL")
 def _(spark, d):
-    n, p = graph(spark, d)
-    return ip.sink_levels(n, p, sinks(n)).where("level = 'always'").select("fn")
+    return ip.sink_levels(rounds(spark, d)).where("level = 'always'").select("fn")
+
+
+@query("sink_levels", ROUNDS + " SELECT fn, CASE WHEN always IS NOT NULL THEN 'always' WHEN may IS NOT NULL THEN 'may' ELSE 'none' END AS level, coalesce(always, may, 0) AS iter FROM rounds")
+def _(spark, d):
+    return ip.sink_levels(rounds(spark, d))
+
+
+@query("sink_trace", ROUNDS + " SELECT fn, may AS pass, 'may' AS value FROM rounds WHERE may < coalesce(always, 99) UNION ALL SELECT fn, always, 'always' FROM rounds WHERE always IS NOT NULL")
+def _(spark, d):
+    return ip.sink_trace(rounds(spark, d))
 
 
-@query("sink_levels")
+@query("sink_chains", G + MAY + ", via AS (SELECT p.src AS fn, min(p.dst) AS via FROM p JOIN may x ON x.fn = p.src JOIN may y ON y.fn = p.dst WHERE y.may = x.may - 1 GROUP BY p.src), ch AS (SELECT fn, NULL::BIGINT AS via, 0::BIGINT AS len, fn::VARCHAR AS chain FROM may WHERE may = 0 UNION ALL SELECT v.fn, v.via, len + 1, v.fn || '>' || chain FROM ch JOIN via v ON v.via = ch.fn) SELECT * FROM ch")
 def _(spark, d):
     n, p = graph(spark, d)
-    return ip.sink_levels(n, p, sinks(n))
+    return ip.sink_chains(p, cg.reach(n, p, sinks(n), backwards=True))
+
+
+@query("shortest_cycles", G + SCC + ", heads AS (SELECT DISTINCT label FROM s WHERE fn IN (SELECT fn FROM loops)), w AS (SELECT label, label AS fn, 0::BIGINT AS len FROM heads UNION SELECT w.label, p.dst, len + 1 FROM w JOIN p ON p.src = w.fn JOIN s ON s.fn = p.dst AND s.label = w.label WHERE len <= (SELECT count(*) FROM s x WHERE x.label = w.label)), short AS (SELECT label, min(len) AS len FROM w WHERE fn = label AND len > 0 GROUP BY label), t AS (SELECT label, label AS fn, [label] AS path FROM short UNION ALL SELECT t.label, p.dst, list_append(path, p.dst) FROM t JOIN short USING (label) JOIN p ON p.src = t.fn JOIN s ON s.fn = p.dst AND s.label = t.label WHERE len(path) <= short.len) SELECT t.label, array_to_string(min(path), '>') AS cycle FROM t JOIN short USING (label) WHERE len(path) = short.len + 1 AND path[-1] = label GROUP BY t.label")
+def _(spark, d):
+    return cg.cycle_chains(*graph(spark, d))
 
 
 @query("sink_shortest_len", G + "l AS (SELECT fn, 0::BIGINT AS level FROM " + SINKS + " UNION SELECT src, level + 1 FROM l JOIN p ON p.dst = l.fn WHERE level < 41) SELECT fn, min(level) AS level FROM l GROUP BY fn")
@@ -67,6 +90,30 @@ def _(spark, d):
     return c.groupBy("fn").agg(F.count(F.lit(1)).alias("contexts"), F.count(F.when(F.col("value") % 2 == 1, 1)).alias("warnings"))
 
 
+CONTEXTS = "(" + CTX[1] + ")"
+
+
+@query("ctx_divisions", "SELECT fn, string, CASE value WHEN 1 THEN 'zero' ELSE 'maybe zero' END AS warning FROM " + CONTEXTS + " WHERE fn % 3 = 0 AND value % 2 = 1")
+def _(spark, d):
+    """Functions that divide by their parameter (here every third), in the contexts where it may be zero."""
+    from graphloom.registry import QUERIES
+
+    return QUERIES["ctx_k1"](spark, d).where("fn % 3 = 0 AND value % 2 = 1").select("fn", "string", F.when(F.col("value") == 1, "zero").otherwise("maybe zero").alias("warning"))
+
+
+@query("ctx_edges", "SELECT DISTINCT x.fn AS src, x.string AS src_string, c.dst, c.src || ':' || c.line || ':' || c.col AS dst_string FROM " + CONTEXTS + " x JOIN (" + "WITH " + dv.CG + " SELECT * FROM cg) c ON c.src = x.fn")
+def _(spark, d):
+    n, s = dv.call_nodes(spark, d), dv.call_sites(spark, d)
+    found = ip.contexts(n, s, n.join(s.select(F.col("dst").alias("fn")), "fn", "left_anti"), 1, limit=None)
+    return ip.context_edges(found, s, 1)
+
+
+@query("inline_verdicts", G + "st AS (SELECT DISTINCT src, dst, col <> 5 AS fits FROM cg), w AS (SELECT fn AS entry, [fn] AS chain, 'inlined' AS verdict FROM nodes WHERE fn % 40 = 0 UNION SELECT entry, list_append(chain, dst), CASE WHEN dst NOT IN (SELECT src FROM cg) THEN 'no body' WHEN list_contains(chain, dst) THEN 'recursion' WHEN NOT fits THEN 'arguments' WHEN len(chain) = 3 THEN 'depth' ELSE 'inlined' END FROM w JOIN st ON src = chain[-1] WHERE verdict = 'inlined') SELECT entry, array_to_string(chain, '>') AS path, len(chain) - 2 AS depth, verdict FROM w WHERE len(chain) > 1")
+def _(spark, d):
+    s = dv.call_sites(spark, d)
+    return ip.inlined(s.withColumn("fits", F.col("col") != 5), dv.call_nodes(spark, d).where(dv.ENTRY), s.select(F.col("src").alias("fn")).distinct(), 2).distinct()
+
+
 CLASSES = "parts AS (SELECT DISTINCT string_split(p_type, ' ') AS w FROM part), base AS (SELECT DISTINCT array_to_string(w[:i], ' ') AS sub, CASE WHEN i = 1 THEN 'ANY' ELSE array_to_string(w[:i - 1], ' ') END AS sup FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM parts)), tree AS (SELECT sub AS sup, sub FROM base UNION SELECT sup, sup FROM base UNION SELECT tree.sup, base.sub FROM tree JOIN base ON base.sup = tree.sub), concrete AS (SELECT DISTINCT p_type AS class FROM part), vs AS (SELECT DISTINCT p_partkey AS site, string_split(p_type, ' ')[1] AS static_class FROM part), made AS (SELECT DISTINCT p_type AS class FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 49)"
 
 
@@ -105,6 +152,38 @@ def _(spark, d):
     return ip.resolve_virtual(calls, tree, classes, made(spark, d)).distinct()
 
 
+EXACT = ", exact AS (SELECT DISTINCT p_partkey AS site, p_type AS target FROM part WHERE p_size % 5 = 0)"
+
+
+@query("resolve_exact", "WITH t AS (SELECT 1)" + EXACT + " SELECT site, target, CASE WHEN site % 2 = 0 THEN 'final' ELSE 'static' END AS reason FROM exact")
+def _(spark, d):
+    """Calls whose class is known exactly, as it is final or made on the spot."""
+    return exact(spark, d).withColumn("reason", F.when(F.col("site") % 2 == 0, "final").otherwise("static"))
+
+
+def exact(spark, d):
+    return dv.table(spark, d, "part").where("p_size % 5 = 0").select(F.col("p_partkey").alias("site"), F.col("p_type").alias("target")).distinct()
+
+
+@query("resolve_precedence", RTA + EXACT + ", few AS (SELECT * FROM rta WHERE site % 3 <> 1), cha AS (SELECT DISTINCT site, sub AS target FROM vs JOIN tree ON sup = static_class JOIN concrete ON class = sub WHERE site % 7 <> 1) SELECT DISTINCT site, 'exact' AS rule, target FROM vs JOIN exact USING (site) UNION ALL SELECT site, 'rta', target FROM few WHERE site NOT IN (SELECT site FROM exact) UNION ALL SELECT site, 'cha', target FROM cha WHERE site NOT IN (SELECT site FROM exact UNION ALL SELECT site FROM few) UNION ALL SELECT site, 'unresolved', NULL FROM (SELECT DISTINCT site FROM vs WHERE site NOT IN (SELECT site FROM exact UNION ALL SELECT site FROM few UNION ALL SELECT site FROM cha))")
+def _(spark, d):
+    """An exact class beats those that are made, which beat those of the hierarchy; each of the latter rules knows some sites only."""
+    tree, classes, calls = hierarchy(spark, d)
+    cha, rta = ip.resolve_virtual(calls, tree, classes).where("site % 7 <> 1"), ip.resolve_virtual(calls, tree, classes, made(spark, d)).where("site % 3 <> 1")
+    return ip.resolved(calls, [("exact", exact(spark, d)), ("rta", rta), ("cha", cha)])
+
+
+MEMBERS = ", big AS (SELECT DISTINCT p_type AS class FROM part WHERE p_size >= 48), member AS (SELECT DISTINCT a.p_type AS class, b.p_type AS part FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size = 1), inst AS (SELECT class FROM big UNION SELECT part FROM inst JOIN member USING (class))"
+
+
+@query("instantiated_classes", "WITH RECURSIVE z AS (SELECT 1)" + MEMBERS + " SELECT class FROM inst")
+def _(spark, d):
+    """Classes that are made, and those that they hold by value, and those that these hold."""
+    part = dv.table(spark, d, "part")
+    a, b = part.where("p_size = 1").select(F.col("p_partkey") + 1, F.col("p_type").alias("class")).toDF("k", "class"), part.select(F.col("p_partkey").alias("k"), F.col("p_type").alias("part"))
+    return ip.with_members(part.where("p_size >= 48").select(F.col("p_type").alias("class")).distinct(), a.join(b, "k").select("class", "part").distinct())
+
+
 @query("resolve_fnptr", "SELECT DISTINCT p_partkey AS site, s_suppkey AS target FROM part JOIN supplier ON p_size % 25 = s_nationkey")
 def _(spark, d):
     calls = dv.table(spark, d, "part").select(F.col("p_partkey").alias("site"), (F.col("p_size") % 25).alias("fn_type"))
