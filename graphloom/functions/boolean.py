@@ -146,3 +146,39 @@ def proves(condition: Formula, f: Formula, limit: int = MAX_STEPS) -> bool:
 
 def allows(condition: Formula, f: Formula, limit: int = MAX_STEPS) -> bool:
     return solve(both(condition, f), limit).status == "Satisfiable"
+
+
+def in_models(f: Formula) -> Formula:
+    """The same formula as the alternatives that satisfy it, each a branch of the solver, so that its size depends on its atoms and not on how it came about."""
+    found, stack = [], [(f, ())]
+    while stack:
+        g, way = stack.pop()
+        if isinstance(g, bool):
+            if g:
+                found.append(both(*way))
+            continue
+        name = first_atom(g)
+        stack += [(assign(g, name, value), (*way, atom(name) if value else negate(atom(name)))) for value in (False, True)]
+    return either(*found)
+
+
+class FlowCondition:
+    """What holds on the ways to a place: forked for branches, constrained by them, joined where they meet."""
+
+    def __init__(self, formula: Formula = True) -> None:
+        self.formula = formula
+
+    def fork(self) -> FlowCondition:
+        return FlowCondition(self.formula)
+
+    def constrain(self, f: Formula) -> FlowCondition:
+        return FlowCondition(both(self.formula, f))
+
+    def join(self, other: FlowCondition) -> FlowCondition:
+        return FlowCondition(either(self.formula, other.formula))
+
+    def proves(self, f: Formula) -> bool:
+        return proves(self.formula, f)
+
+    def allows(self, f: Formula) -> bool:
+        return allows(self.formula, f)

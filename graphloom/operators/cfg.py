@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from graphloom.functions import boolean as bl
 from graphloom.functions import dataflow as df
 from graphloom.functions import digraph as dg
 from graphloom.plans.fixpoint import per_function
@@ -25,6 +26,7 @@ class Function:
         for k, a, b, _ in rows:
             if k in ("u", "d"):
                 self.events.setdefault(a, []).append((b, k == "d"))
+        self.viewed = {a: b for k, a, b, _ in rows if k == "c"}
         self.vars = sorted({v for es in self.events.values() for v, _ in es})
         self.bit = {v: 1 << k for k, v in enumerate(self.vars)}
 
@@ -301,11 +303,11 @@ def solver_costs(facts: DataFrame) -> DataFrame:
 
 
 def instructions(f: Function) -> dict[int, list[tuple]]:
-    """A small program over the function's variables: signup sets its variable to the block's number, click adds one, purchase subtracts two, error multiplies."""
+    """A small program over the function's variables, by name: signup sets its variable to the block's number, click adds one, purchase subtracts two, error multiplies."""
     out: dict[int, list[tuple]] = {}
     for b, es in f.events.items():
         op = {"signup": ("=", b, None), "click": ("+", None, 1), "purchase": ("-", None, 2)}.get(f.kind[b], ("*", None, 2))
-        out[b] = [(v, op[0], op[1] if op[1] is not None else v, op[2]) for v, _ in es]
+        out[b] = [(str(v), op[0], op[1] if op[1] is not None else str(v), op[2]) for v, _ in es]
     return out
 
 
@@ -315,7 +317,7 @@ def constants(facts: DataFrame) -> DataFrame:
     def of(f: Function) -> list[tuple]:
         code = instructions(f)
         before, _, _ = df.fixpoint(f.g, f.entry, {}, lambda b, s: df.run_constants(s, code.get(b, [])), df.join_constants)
-        return [(b, v, "const" if x != df.TOP else "top", x if x != df.TOP else 0) for b, s in before.items() for v, x in s.items() if x is not None]
+        return [(b, int(v), "const" if x != df.TOP else "top", x if x != df.TOP else 0) for b, s in before.items() for v, x in s.items() if x is not None]
 
     return each(facts, within_budget(of, (MAX_VISITS, 0)), "b long, v long, kind string, value long")
 
@@ -328,11 +330,67 @@ def intervals(facts: DataFrame) -> DataFrame:
         join = lambda a, b: df.ANY if a is None or b is None else a.join(b)
         widen = lambda a, b: b if a is None else a.widen(b)
         before, _, cost = df.fixpoint(f.g, f.entry, {}, lambda b, s: df.run_intervals(s, code.get(b, [])), join, widen)
-        return [(b, v, None if x.lo is None else float(x.lo), None if x.hi is None else float(x.hi), cost.widens, "ok") for b, s in before.items() for v, x in s.items()]
+        return [(b, int(v), None if x.lo is None else float(x.lo), None if x.hi is None else float(x.hi), cost.widens, "ok") for b, s in before.items() for v, x in s.items()]
 
     return each(facts, within_budget(of, (None, None, 0, MAX_VISITS)), "b long, v long, lo double, hi double, widens long, status string")
 
 
+def refined(facts: DataFrame) -> DataFrame:
+    """Bounds as intervals gives them, with what branches say: a view of variable v in block b skips where v < b and goes on where not; a way on which that can't hold is none."""
+
+    def of(f: Function) -> list[tuple]:
+        code, seen = instructions(f), f.viewed
+        join = lambda a, b: df.ANY if a is None or b is None else a.join(b)
+        widen = lambda a, b: b if a is None else a.widen(b)
+
+        def on_edge(state: dict, a: int, b: int) -> dict | None:
+            if a not in seen or len(f.g[a]) < 2:
+                return state
+            op = "<" if b != a + 1 else df.NEGATED["<"]
+            name = str(seen[a])
+            left = state.get(name, df.ANY).meet(op, a)
+            return None if left.empty else state | {name: left}
+
+        before, _, cost = df.fixpoint(f.g, f.entry, {}, lambda b, s: df.run_intervals(s, code.get(b, [])), join, widen, on_edge)
+        return [(b, int(v), None if x.lo is None else float(x.lo), None if x.hi is None else float(x.hi), cost.joins, cost.widens, "ok") for b, s in before.items() for v, x in s.items()]
+
+    return each(facts, within_budget(of, (None, None, 0, 0, MAX_VISITS)), "b long, v long, lo double, hi double, joins long, widens long, status string")
+
+
+def element_states(facts: DataFrame) -> DataFrame:
+    """(fn, b, when, v, kind, value): what each variable holds before and after the element of each block that sets one."""
+
+    def of(f: Function) -> list[tuple]:
+        code, out = instructions(f), []
+        before, behind, _ = df.fixpoint(f.g, f.entry, {}, lambda b, s: df.run_constants(s, code.get(b, [])), df.join_constants, max_visits=None)
+        for b in code:
+            for when, states in (("before", before), ("after", behind)):
+                out += [(b, when, int(v), "const" if x != df.TOP else "top", x if x != df.TOP else 0) for v, x in states.get(b, {}).items() if x is not None]
+        return out
+
+    return each(facts, of, "b long, when string, v long, kind string, value long")
+
+
+def flow_conditions(facts: DataFrame, names: int = 4) -> DataFrame:
+    """(fn, b, verdict): of each branch, what the conditions on the ways to it say of its own, by solving formulas: ALWAYS TRUE, ALWAYS FALSE, unknown, or BOTH PROVEN where no way leads. A view of variable v tests atom v modulo names and skips if it holds; ways run forwards."""
+
+    def of(f: Function) -> list[tuple]:
+        fc, out = {b: False for b in f.g}, []
+        fc[f.entry] = True
+        for b in sorted(f.g):
+            test = bl.atom(f"x{f.viewed[b] % names}") if b in f.viewed else None
+            if test is not None:
+                yes, no = bl.proves(fc[b], test), bl.proves(fc[b], bl.negate(test))
+                out.append((b, "BOTH PROVEN" if yes and no else "ALWAYS TRUE" if yes else "ALWAYS FALSE" if no else "unknown"))
+            for s in f.g[b]:
+                if s > b:
+                    way = fc[b] if test is None or len([x for x in f.g[b] if x > b]) < 2 else bl.both(fc[b], test if s != b + 1 else bl.negate(test))
+                    fc[s] = bl.in_models(bl.either(fc[s], way))
+        return out
+
+    return each(facts, of, "b long, verdict string")
+
+
 def taint(facts: DataFrame) -> DataFrame:
     """Variables set by signup are tainted, purchase cleans them; what a block that clicks may see of each. Verdict error:max-visits: the budget of visits was not enough."""
 

@@ -22,17 +22,17 @@ def some_way(f: Function, gen: dict[int, int], kill: dict[int, int], at_first: i
     return df.solve(f.g, f.entry, gen, kill, True, at_first)[0]
 
 
-def moves(facts_: DataFrame) -> DataFrame:
-    """Uses of a variable that was moved: on all ways (certain) or on some (possible). What the entry doesn't reach is left out."""
+def moves_of(f: Function) -> list[tuple]:
+    moved, kept = doing(f, "purchase"), doing(f, "signup")
+    may = some_way(f, moved, kept, 0)
+    may_not = some_way(f, kept, moved, sum(f.bit.values()))
+    live = dg.levels(f.g, [f.entry])
+    return [(b, v, "possible" if may_not[b] & f.bit[v] else "certain") for b, used in doing(f, "click").items() if b in live for v in f.names(used & may[b])]
 
-    def of(f: Function) -> list[tuple]:
-        moved, kept = doing(f, "purchase"), doing(f, "signup")
-        may = some_way(f, moved, kept, 0)
-        may_not = some_way(f, kept, moved, sum(f.bit.values()))
-        live = dg.levels(f.g, [f.entry])
-        return [(b, v, "possible" if may_not[b] & f.bit[v] else "certain") for b, used in doing(f, "click").items() if b in live for v in f.names(used & may[b])]
 
-    return each(facts_, of, "b long, v long, verdict string")
+def moves(facts_: DataFrame) -> DataFrame:
+    """Uses of a variable that was moved: on all ways (certain) or on some (possible). What the entry doesn't reach is left out."""
+    return each(facts_, moves_of, "b long, v long, verdict string")
 
 
 def locks(facts_: DataFrame) -> DataFrame:
@@ -138,10 +138,8 @@ def leading_reports(facts_: DataFrame) -> DataFrame:
     """Uses after moves as moves gives them, without those that another report on the same variable dominates."""
 
     def of(f: Function) -> list[tuple]:
-        moved, kept, dom = doing(f, "purchase"), doing(f, "signup"), f.dominators()
-        may, may_not = some_way(f, moved, kept, 0), some_way(f, kept, moved, sum(f.bit.values()))
-        at = [(b, v) for b, used in doing(f, "click").items() if b in dom for v in f.names(used & may[b])]
-        return [(b, v, "possible" if may_not[b] & f.bit[v] else "certain") for b, v in at if not any(x != b and w == v and x in dom[b] for x, w in at)]
+        dom, found = f.dominators(), moves_of(f)
+        return [(b, v, verdict) for b, v, verdict in found if not any(x != b and w == v and x in dom[b] for x, w, _ in found)]
 
     return each(facts_, of, "b long, v long, verdict string")
 

@@ -302,5 +302,11 @@ kernel("solver_visits", cfg.solver_costs, variant="r")
 kernel("solver_invariant", lambda f: cfg.solver_costs(f).agg(F.count(F.when(~F.col("same"), 1)).alias("violations")), "SELECT 0::BIGINT AS violations")
 kernel("const_prop", cfg.constants)
 kernel("interval_widen", cfg.intervals)
-kernel("taint_clicks", cfg.taint)
+kernel("interval_refine", cfg.refined)
+kernel("element_states", cfg.element_states)
+TAINT = "act AS (SELECT fn, b, et, v::BIGINT AS v FROM blk WHERE et IN ('signup', 'purchase', 'click') AND v IS NOT NULL), tt AS (SELECT act.fn, e.d AS b, act.v, CASE et WHEN 'signup' THEN 'tainted' ELSE 'clean' END AS is FROM act JOIN e ON e.fn = act.fn AND e.s = act.b WHERE et <> 'click' UNION SELECT fn, 1, v, 'clean' FROM act UNION SELECT tt.fn, e.d, tt.v, tt.is FROM tt JOIN e ON e.fn = tt.fn AND e.s = tt.b WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.fn = tt.fn AND act.b = tt.b AND act.v = tt.v AND act.et <> 'click'))".replace(" AS is ", " AS st ").replace("tt.is", "tt.st")
+kernel("taint_clicks", cfg.taint, I + TAINT + " SELECT tt.fn, tt.b, tt.v, CASE WHEN count(DISTINCT st) = 2 THEN 'maybe' ELSE min(st) END AS verdict FROM tt JOIN act ON act.fn = tt.fn AND act.b = tt.b AND act.v = tt.v AND act.et = 'click' GROUP BY tt.fn, tt.b, tt.v")
 kernel("cfg_shape", cfg.shape)
+kernel("cfg_shape_counts", lambda f: cfg.shape(f).drop("back_edges"), I + LOOP + ", hs AS (SELECT fn, count(DISTINCT d) AS loops FROM be GROUP BY fn), es AS (SELECT fn, count(*) AS edges FROM e GROUP BY fn) SELECT blk.fn, count(*) AS blocks, coalesce(max(edges), 0) AS edges, coalesce(max(edges), 0) - count(*) + 2 AS cyclomatic, coalesce(max(loops), 0) AS loops, greatest(1, 150 * count(*) * (1 + coalesce(max(loops), 0)) // 100) AS budget FROM blk LEFT JOIN hs USING (fn) LEFT JOIN es USING (fn) GROUP BY blk.fn")
+FLOW = "br AS (SELECT fn, b, v % 4 AS x, b + 1 < n AS two FROM blk WHERE et = 'view' AND v IS NOT NULL), fw AS (SELECT fn, s, d FROM e WHERE d > s), w AS (SELECT fn, 1::BIGINT AS b, a FROM blk, range(16) r(a) WHERE b = 1 UNION SELECT w.fn, fw.d, w.a FROM w JOIN fw ON fw.fn = w.fn AND fw.s = w.b LEFT JOIN br ON br.fn = w.fn AND br.b = w.b WHERE br.b IS NULL OR NOT br.two OR (w.a // power(2, br.x)::BIGINT % 2 = 1) = (fw.d <> w.b + 1))"
+kernel("flow_verdicts", cfg.flow_conditions, I + FLOW + " SELECT br.fn, br.b, CASE WHEN count(w.a) = 0 THEN 'BOTH PROVEN' WHEN bool_and(w.a // power(2, br.x)::BIGINT % 2 = 1) THEN 'ALWAYS TRUE' WHEN NOT bool_or(w.a // power(2, br.x)::BIGINT % 2 = 1) THEN 'ALWAYS FALSE' ELSE 'unknown' END AS verdict FROM br LEFT JOIN w ON w.fn = br.fn AND w.b = br.b GROUP BY br.fn, br.b")

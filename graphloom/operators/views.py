@@ -149,7 +149,7 @@ def has_state(facts: DataFrame) -> DataFrame:
 
     def of(f: Function) -> list[tuple]:
         code = instructions(f)
-        before, _, _ = df.fixpoint(f.g, f.entry, dict.fromkeys(f.vars, df.TOP), lambda b, s: df.run_constants(s, code.get(b, [])), df.join_constants, max_visits=None)
+        before, _, _ = df.fixpoint(f.g, f.entry, dict.fromkeys(map(str, f.vars), df.TOP), lambda b, s: df.run_constants(s, code.get(b, [])), df.join_constants, max_visits=None)
         return [(b, float(len(before[b])) if b in before else float("nan")) for b in f.g]
 
     return each(facts, of, "b long, state double").select("fn", "b", F.when(~F.isnan("state"), F.col("state").cast("long")).alias("values"))

@@ -90,7 +90,7 @@ def body_edges(body: DataFrame) -> DataFrame:
 def cfg_facts(spark: SparkSession, sf_dir: str, variant: str = "i") -> DataFrame:
     """(fn, kind, a, b, x): all facts of a function in rows of one shape, so that one shuffle brings them together.
 
-    kind: b block a of n = b and event type x; e edge a to b; u use of variable b in block a; d definition.
+    kind: b block a of n = b and event type x; e edge a to b; u use of variable b in block a; d definition; c test of it.
     """
     blk = blocks(spark, sf_dir)
     goes_on = F.lit(True) if variant != "p" else ~((F.col("et") == "purchase") & (F.coalesce("v", F.lit(1)) == 0))
@@ -100,5 +100,6 @@ def cfg_facts(spark: SparkSession, sf_dir: str, variant: str = "i") -> DataFrame
     edge = F.transform(F.array_distinct(F.array_compact(F.array(fall, skip, back))), lambda d: F.struct(F.lit("e").alias("kind"), F.col("b").alias("a"), d.alias("b"), F.lit("").alias("x")))
     block = F.struct(F.lit("b").alias("kind"), F.col("b").alias("a"), F.col("n").alias("b"), F.col("et").alias("x"))
     touch = F.struct(F.when(F.col("et") == "signup", "d").otherwise("u").alias("kind"), F.col("b").alias("a"), F.col("v").cast("long").alias("b"), F.lit("").alias("x"))
+    test = F.when((F.col("et") == "view") & F.col("v").isNotNull(), F.array(F.struct(F.lit("c").alias("kind"), F.col("b").alias("a"), F.col("v").cast("long").alias("b"), F.lit("").alias("x")))).otherwise(F.array())
     touches = F.when(F.col("et").isin("signup", "click", "purchase") & F.col("v").isNotNull(), F.array(touch)).otherwise(F.array())
-    return blk.select("fn", F.explode(F.concat(F.array(block), edge, touches)).alias("f")).select("fn", "f.*")
+    return blk.select("fn", F.explode(F.concat(F.array(block), edge, touches, test)).alias("f")).select("fn", "f.*")

@@ -166,18 +166,78 @@ def read_call_dump(texts: DataFrame) -> DataFrame:
         out = []
         for file, text in zip(pdf.file, pdf.text, strict=True):
             rows = [line.strip()[len("Function: ") :].partition(" calls:") for line in text.split("\n") if line.strip().startswith("Function: ")]
-            known = sorted({a.strip() for a, _, _ in rows}, key=len, reverse=True)
+            known = {a.strip() for a, _, _ in rows}
+            most = max((k.count(" ") + 1 for k in known), default=1)
             for caller, _, rest in rows:
-                rest = rest.strip()
-                while rest:
-                    name = next((k for k in known if rest == k or rest.startswith(k + " ")), rest.split(" ")[0])
-                    out.append((file, caller.strip(), name))
-                    rest = rest[len(name) :].strip()
+                words = rest.split()
+                at = 0
+                while at < len(words):
+                    n = next((n for n in range(most, 0, -1) if " ".join(words[at : at + n]) in known), 1)
+                    out.append((file, caller.strip(), " ".join(words[at : at + n])))
+                    at += n
         return pd.DataFrame(out, columns=["file", "caller", "callee"])
 
     return texts.select("file", "text").groupBy("file").applyInPandas(of, "file string, caller string, callee string")
 
 
+def block_dumps(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, text): the printed blocks of each function, from blocks (fn, b, kind) and edges (fn, s, d); functions are of bounded size."""
+    to = edges.groupBy("fn", F.col("s").alias("b")).agg(F.array_sort(F.collect_list("d")).alias("to"))
+    succs = F.when(F.col("to").isNotNull(), F.concat(F.lit("\n   Succs ("), F.size("to").cast("string"), F.lit("): "), F.array_join(F.transform("to", lambda d: F.concat(F.lit("B"), d.cast("string"))), " "))).otherwise("")
+    text = F.concat(F.lit(" [B"), F.col("b").cast("string"), F.lit("]\n   1: "), "kind", succs)
+    own = blocks.join(to, ["fn", "b"], "left").groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("b", text.alias("t")))).alias("ts"))
+    return own.select(F.col("fn").cast("string").alias("file"), F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def shape_lines(edges: DataFrame) -> DataFrame:
+    """(value): one line for each function, `f: 1>2,4 2>3`, from edges (fn, s, d)."""
+    per = edges.groupBy("fn", "s").agg(F.array_sort(F.collect_list("d")).alias("to")).groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("s", "to"))).alias("all"))
+    one = F.transform("all", lambda x: F.concat(x["s"].cast("string"), F.lit(">"), F.array_join(F.transform(x["to"], lambda d: d.cast("string")), ",")))
+    return per.select(F.concat(F.col("fn").cast("string"), F.lit(": "), F.array_join(one, " ")).alias("value"))
+
+
+def read_shapes(lines: DataFrame) -> DataFrame:
+    """(fn, s, d) of such lines."""
+    each = lines.select(F.substring_index("value", ":", 1).alias("fn"), F.explode(F.regexp_extract_all("value", F.lit(r"(\d+>[\d,]+)"), 1)).alias("x"))
+    return each.select("fn", F.substring_index("x", ">", 1).cast("long").alias("s"), F.explode(F.split(F.substring_index("x", ">", -1), ",")).alias("d")).select("fn", "s", F.col("d").cast("long").alias("d"))
+
+
+def record_lines(rows: DataFrame, kind: str, name: str, fields: list[str]) -> DataFrame:
+    """(value): a text record for each row, `kind name field=value ...`; names with spaces are quoted, null fields left out."""
+    text = F.col(name).cast("string")
+    quoted = F.when(F.instr(text, " ") > 0, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+    return rows.select(F.concat_ws(" ", F.lit(kind), quoted, *(F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in fields)).alias("value"))
+
+
+def site_documents(sites: DataFrame) -> DataFrame:
+    """(fn, json): the call sites of each function with their place, callee and class, in order of source."""
+    one = F.struct("line", "col", "callee", "class")
+    return sites.groupBy("fn").agg(F.array_sort(F.collect_list(one)).alias("sites")).select("fn", F.to_json(F.struct(F.col("fn").cast("string").alias("function"), "sites")).alias("json"))
+
+
+SITE_JSON = "function string, sites array<struct<line bigint, col bigint, callee string, class string>>"
+CONTEXT_JSON = "function string, string string, value int"
+
+
+def clustered_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, text): a cluster for each function's blocks, from nodes (graph, cluster, node), and edges (graph, src, dst, label) between them."""
+    own = nodes.groupBy("graph", "cluster").agg(F.array_join(F.array_sort(F.collect_list(F.concat(dot_id(F.col("node").cast("string")), F.lit(";")))), " ").alias("ns"))
+    line = F.concat(F.lit("  subgraph "), dot_quote(F.concat(F.lit("cluster_"), F.col("cluster").cast("string"))), F.lit(" { "), "ns", F.lit(" }"))
+    arrow = F.concat(F.lit("  "), dot_id(F.col("src").cast("string")), F.lit(" -> "), dot_id(F.col("dst").cast("string")), F.when(F.col("label").isNotNull(), F.concat(F.lit(" [label="), dot_id(F.col("label")), F.lit("]"))).otherwise(F.lit("")), F.lit(";"))
+    lines = own.select("graph", F.lit(0).alias("k"), line.alias("line")).unionByName(edges.select("graph", F.lit(1).alias("k"), arrow.alias("line")))
+    per = lines.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("ls"))
+    return per.select("graph", F.concat(F.lit("digraph "), dot_id(F.col("graph").cast("string")), F.lit(" {\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n}")).alias("text"))
+
+
+def read_clusters(texts: DataFrame) -> DataFrame:
+    """(graph, cluster, node) of clusters that stand on a line each."""
+    lines = texts.select("graph", F.explode(F.split("text", "\n")).alias("l")).where(F.col("l").rlike(r"^\s*subgraph "))
+    return lines.select("graph", F.regexp_extract("l", r'"cluster_([^"]*)"', 1).alias("cluster"), F.explode(F.regexp_extract_all("l", F.lit(r'("(?:[^"\\\\]|\\\\.)*"|[\w.-]+);'), 1)).alias("n")).select("graph", "cluster", dot_unquote(F.col("n")).alias("node"))
+
+
+OCCURRENCES = "caller long, callee long, line long, dyn boolean, impl boolean, no_rel_call boolean"
+
+
 def read_records(lines: DataFrame) -> DataFrame:
     """(kind, name, fields) of lines such as `metric f in=2 out=1`."""
     name = F.regexp_extract("value", r'^\S+\s+("[^"]*"|\S+)', 1)
@@ -195,7 +255,15 @@ def read_markers(texts: DataFrame) -> DataFrame:
     return lines.where(F.col("l").rlike(pattern) & ~F.col("l").rlike(r"^\s*//")).select("file", (F.col("at") + 1).alias("line"), F.regexp_extract("l", pattern, 1).alias("what"), F.regexp_extract("l", pattern, 2).alias("kind"))
 
 
-def synthetic_calls(spark: SparkSession, functions: int, fanout: int, seed: int = 1) -> DataFrame:
-    """(src, dst): each function calls up to fanout others, by a hash of its number; any number of functions, with no state between them."""
+def read_budgets(texts: DataFrame) -> DataFrame:
+    """(file, budget) of `// budget: 120` comments; the last of a file counts."""
+    lines = texts.select("file", F.posexplode(F.split("text", "\n")).alias("at", "l"))
+    n = F.regexp_extract("l", r"//\s*budget:\s*(\d+)", 1)
+    return lines.where(n != "").groupBy("file").agg(F.max_by(n.cast("long"), "at").alias("budget"))
+
+
+def synthetic_calls(spark: SparkSession, functions: int, fanout: int, seed: int = 1, recursive: float = 0.0) -> DataFrame:
+    """(src, dst): each function calls up to fanout others, by a hash of its number, and with a chance itself; any number of functions, with no state between them."""
     picks = F.transform(F.sequence(F.lit(1), F.lit(fanout)), lambda k: F.pmod(F.xxhash64(F.col("id"), k, F.lit(seed)), F.lit(functions)))
-    return spark.range(functions).select(F.col("id").alias("src"), F.explode(F.array_distinct(picks)).alias("dst"))
+    itself = F.when(F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit("itself")), F.lit(1_000_000)) < int(recursive * 1_000_000), F.array("id")).otherwise(F.array().cast("array<bigint>"))
+    return spark.range(functions).select(F.col("id").alias("src"), F.explode(F.array_distinct(F.concat(picks, itself))).alias("dst"))

@@ -1,6 +1,7 @@
 """Kernels and rounds of joins give the same; formats round trip; documents that lack something are refused."""
 
 import json
+import os
 
 import pytest
 
@@ -42,10 +43,56 @@ def test_call_strings(spark):
         ip.contexts(nodes, sites, entries, 2, limit=3)
 
 
-def test_sink_levels(spark):
-    edges = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (5, 5), (5, 1), (7, 4)], "src long, dst long")
-    got = {r.fn: r.level for r in ip.sink_levels(spark.range(8).withColumnRenamed("id", "fn"), edges, [1]).collect()}
-    assert got == {0: "none", 1: "always", 2: "always", 3: "none", 4: "none", 5: "always", 6: "none", 7: "none"}
+def test_sinks_by_control_flow(spark):
+    """Kernel, rounds and plain Python agree. Function 6 has a loop, and a way to its exit beside the sink; 7 calls sinks on both arms."""
+    calls = [(2, 1, 1), (3, 1, 0), (3, 2, 1), (4, 1, 2), (5, 1, 5), (6, 1, 1), (7, 1, 1), (7, 2, 2), (8, 1, 7)]
+    flow = [(2, 0, 1), (2, 1, 2), (3, 0, 1), (3, 1, 2), (3, 1, 3), (3, 2, 3), (4, 0, 1), (4, 1, 2), (5, 0, 1), (5, 1, 2), (6, 0, 0), (6, 0, 1), (6, 0, 2), (6, 1, 2), (7, 0, 1), (7, 0, 2), (7, 1, 3), (7, 2, 3), (8, 0, 1), (8, 1, 2)]
+    nodes = spark.range(9).withColumnRenamed("id", "fn")
+    c, f, sinks = spark.createDataFrame(calls, "fn long, block long, dst long"), spark.createDataFrame(flow, "fn long, a long, b long"), spark.createDataFrame([(1,)], "fn long")
+    want = {0: (None, None), 1: (0, 0), 2: (1, 1), 3: (1, None), 4: (2, 2), 5: (None, None), 6: (1, None), 7: (1, 2), 8: (2, 3)}
+    for small in (True, False):
+        got = ip.sink_rounds(nodes, c, f, sinks, small)
+        assert {r.fn: (r.may, r.always) for r in got.collect()} == want
+    assert {(r.fn, r.level, r.iter) for r in ip.sink_levels(got).collect()} >= {(0, "none", 0), (3, "may", 1), (7, "always", 2)}
+    assert rows(ip.sink_trace(got).where("fn = 7")) == [(7, 1, "may"), (7, 2, "always")]
+    chains = ip.sink_chains(c.selectExpr("fn AS src", "dst"), got.where("may IS NOT NULL").selectExpr("fn", "may AS level"))
+    assert {r.fn: r.chain for r in chains.collect()} == {1: "1", 2: "2>1", 3: "3>1", 4: "4>2>1", 6: "6>1", 7: "7>1", 8: "8>7>1"}
+
+
+def test_cycles_in_rounds(small):
+    nodes, edges = small
+    assert rows(cg.cycle_chains(nodes, edges, small=True)) == rows(cg.cycle_chains(nodes, edges, small=False)) != []
+
+
+def test_the_boundary_between_kernel_and_rounds(small, monkeypatch):
+    """At the limit of edges and one beyond it, the same rows."""
+    nodes, edges = small
+    n = edges.count()
+    found = []
+    for limit in (n, n - 1):
+        monkeypatch.setattr(fx, "WHOLE", limit)
+        assert fx.is_small(edges) == (limit == n)
+        found.append(rows(cg.components(nodes, edges)) + rows(cg.reach(nodes, edges, [0])))
+    assert found[0] == found[1]
+
+
+def test_numbers_without_one_task(spark):
+    table = spark.range(1000).selectExpr("id % 7 AS k", "id * 37 % 1000 AS v", "id")
+    for keys in ([], ["k"]):
+        got = {r.id: r.n for r in fx.numbered(table, ["v", "id"], "n", keys).collect()}
+        seen, want = {}, {}
+        for k, _, i in sorted(((r.k if keys else 0, r.v, r.id) for r in table.collect())):
+            seen[k] = want[i] = seen.get(k, 0) + 1
+        assert got == want
+
+
+def test_precedence_and_inlining(spark):
+    sites = spark.createDataFrame([(1,), (2,), (3,)], "site long")
+    a, b = spark.createDataFrame([(1, "x")], "site long, target string"), spark.createDataFrame([(1, "y"), (2, "z"), (2, "w")], "site long, target string")
+    assert sorted((r.site, r.rule, r.target or "") for r in ip.resolved(sites, [("a", a), ("b", b)]).collect()) == [(1, "a", "x"), (2, "b", "w"), (2, "b", "z"), (3, "unresolved", "")]
+    calls = spark.createDataFrame([(0, 1, True), (1, 0, True), (1, 2, True), (2, 3, True), (0, 9, True), (0, 2, False)], "src long, dst long, fits boolean")
+    got = ip.inlined(calls, spark.createDataFrame([(0,)], "fn long"), spark.range(4).withColumnRenamed("id", "fn"), 2)
+    assert {(r.path, r.verdict) for r in got.collect()} == {("0>1", "inlined"), ("0>9", "no body"), ("0>2", "arguments"), ("0>1>0", "recursion"), ("0>1>2", "inlined"), ("0>1>2>3", "depth")}
 
 
 def test_merge_refuses(spark, tmp_path):
@@ -84,6 +131,20 @@ def test_stream_ends_where_it_began(spark, tmp_path):
     assert rows(got) == rows(windows.windowed_kinds(table))
 
 
+def test_stream_drops_what_is_too_late(spark, tmp_path):
+    """Files come one by one: a row within the two hours still counts, one that comes after its window is closed doesn't."""
+    row = lambda k, ts: (k, ts, 1, "click", 1.0, "{}")
+    files = [[row(1, "2024-01-01 00:10:00")], [row(2, "2024-01-01 01:30:00"), row(3, "2024-01-01 00:50:00")], [row(4, "2024-01-01 09:00:00")], [row(7, "2024-01-01 09:10:00")], [row(5, "2024-01-01 00:20:00")], [row(6, "2024-01-01 08:30:00")]]
+    for k, f in enumerate(files):
+        spark.createDataFrame(f, "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        for p in (tmp_path / "in" / str(k)).glob("part-*"):
+            os.makedirs(tmp_path / "all", exist_ok=True)
+            os.rename(p, tmp_path / "all" / f"{k}.parquet")
+            os.utime(tmp_path / "all" / f"{k}.parquet", (1_700_000_000 + 60 * k,) * 2)
+    got = windows.drained(windows.windowed_kinds(windows.arriving(spark, f"{tmp_path}/all", files=1)), f"file://{tmp_path}/out")
+    assert {(r.start.hour, r.n) for r in got.collect()} == {(0, 2), (1, 1), (9, 2), (8, 1)}
+
+
 def test_names(spark):
     nodes = spark.createDataFrame([(1, "f", "int", 1), (2, "f", "int", 2), (3, "f", "char", 1), (4, "g", "", 1), (5, "h", "a", 1), (6, "h", "a", 1)], "fn long, base string, signature string, line long")
     assert {r.fn: r.name for r in ip.unique_names(nodes).collect()} == {1: "f(int)@L1", 2: "f(int)@L2", 3: "f(char)", 4: "g", 5: "h(a)@L1#1", 6: "h(a)@L1#2"}
