@@ -258,3 +258,40 @@ def _(spark, d):
     n, p = graph(spark, d)
     lines = n.select(F.lit("node").alias("kind"), F.concat_ws(" ", F.lit("node"), F.col("fn").cast("string")).alias("line")).unionByName(p.select(F.lit("edge").alias("kind"), F.concat_ws(" ", F.lit("edge"), F.col("src").cast("string"), F.col("dst").cast("string")).alias("line")))
     return lines.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+# Conditions `size op c` over parts, whose sizes run from 1 to 50; a part's half in number is the statement around it, and a few of the larger ones come from macros.
+CONDITION = "SELECT p_partkey AS k, p_partkey % 3 AS op, p_partkey % 60 AS c, p_partkey % 97 = 5 AND p_size > 25 AS macro FROM part"
+
+
+@query("constant_conditions", "WITH RECURSIVE q AS (" + CONDITION + "), m AS (SELECT k FROM q WHERE macro UNION SELECT k // 2 FROM m WHERE k > 1), v AS (SELECT k, CASE WHEN op = 0 AND c > 50 OR op = 1 AND c <= 1 THEN 'always true' WHEN op = 0 AND c <= 1 OR op = 1 AND c > 50 OR op = 2 AND (c < 1 OR c > 50) THEN 'always false' END AS verdict FROM q) SELECT k, verdict FROM v WHERE verdict IS NOT NULL AND k NOT IN (SELECT k FROM m)")
+def _(spark, d):
+    """Comparisons that their operand's range decides, but for those that hold something from a macro, however deep."""
+    q = dv.table(spark, d, "part").select(F.col("p_partkey").alias("fn"), (F.col("p_partkey") % 3).alias("op"), (F.col("p_partkey") % 60).alias("c"), ((F.col("p_partkey") % 97 == 5) & (F.col("p_size") > 25)).alias("macro"))
+    up = q.where("fn > 1").select(F.col("fn").alias("src"), F.floor(F.col("fn") / 2).alias("dst"))
+    hidden = cg.reach(q.select("fn"), up, q.where("macro").select("fn")).select("fn")
+    low, high = F.col("c") <= 1, F.col("c") > 50
+    less, least, equal = (F.col("op") == k for k in range(3))
+    verdict = F.when(less & high | least & low, "always true").when(less & low | least & high | equal & ((F.col("c") < 1) | high), "always false")
+    return q.withColumn("verdict", verdict).where("verdict IS NOT NULL").join(hidden, "fn", "left_anti").select(F.col("fn").alias("k"), "verdict")
+
+
+GATE = "CASE WHEN p_brand LIKE '%1' THEN 'error:c-input' WHEN p_size % 7 = 0 THEN 'error:template' WHEN p_size % 7 = 1 THEN 'skip:generic-lambda' ELSE 'ok' END"
+
+
+@query("analysis_gate", "SELECT " + GATE + " AS status, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1")
+def _(spark, d):
+    """What an analysis refuses before it begins, by the first reason that holds, and how many declarations of each kind there are."""
+    status = F.when(F.col("p_brand").endswith("1"), "error:c-input").when(F.col("p_size") % 7 == 0, "error:template").when(F.col("p_size") % 7 == 1, "skip:generic-lambda").otherwise("ok")
+    return dv.table(spark, d, "part").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"))
+
+
+# Bodies of functions that are known though no unit defines them: blocks 0 (entry) to 3 (exit) of one that calls its argument once.
+CALL_ONCE = [(0, 1), (1, 2), (1, 3), (2, 3)]
+
+
+@query("synthesised_bodies", CG + ", s AS (SELECT src AS fn, row_number() OVER (PARTITION BY src ORDER BY line, col, guarded, dst) AS block, dst FROM cg) SELECT fn, block, a, b FROM s, (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT)" for a, b in CALL_ONCE) + ") m(a, b) WHERE dst = -1")
+def _(spark, d):
+    """Control flow that is put in for each call to the external function. The model is four rows."""
+    model = spark.createDataFrame([(dv.EXTERNAL, a, b) for a, b in CALL_ONCE], "dst long, a long, b long")
+    return dv.bodies(spark, d).join(F.broadcast(model), "dst").select("fn", "block", "a", "b")
