@@ -1,5 +1,6 @@
 """Kernels against libraries, definitions and round trips, without Spark."""
 
+import base64
 import hashlib
 import random
 import re
@@ -287,6 +288,11 @@ def test_webp_undoes_transforms(seed):
         assert (webp.decode(rich.file(width, height)) == image).all()
 
 
+def test_webp_of_another_encoder():
+    """The one transparent pixel by which browsers are asked whether they read lossless WebP."""
+    assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[0]]
+
+
 def test_webp_refuses():
     for raw in (b"", b"RIFF\0\0\0\0WEBPVP8 ", webp.store(b"abc" * 50)[:40]):
         with pytest.raises((ValueError, IndexError)):
