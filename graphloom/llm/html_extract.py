@@ -71,6 +71,11 @@ LABELLED = """
 0 1 1 0|0 1 1 0|0 4 0 1|0 50 0 1|0 3 1 0
 0 2 1 0|0 3 0 1|0 25 0 1|0 6 0 1
 0 70 0 1|0 2 1 0|0 3 1 0|0 2 1 0
+-2 1 1 0|1 60 0 1|-2 2 1 0
+-2 2 1 0|0 45 0 1|-1 1 1 0|0 30 0 1|-2 1 1 0|1 20 0 1
+-1 3 1 0|1 50 0 1|1 40 0 1|-1 4 1 0|1 35 0 1|-2 5 1 0|1 25 0 1
+0 50 0 1|0 4 0 1|0 2 1 0|0 3 1 0
+0 30 0 1|0 5 0 1|0 1 1 0|0 2 1 0
 1 30 0 1|1 2 0 1|1 1 1 1|1 27 0 1|1 3 0 1|1 2 1 1|1 40 0 1
 -2 90 0 0|1 8 0 1|1 33 .3 1|-2 25 .1 0|-2 200 0 0|1 12 0 1|-2 1 1 0|-2 2 0 0
 """
