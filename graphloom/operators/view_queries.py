@@ -109,7 +109,7 @@ def _(spark, d):
     return vw.presets(dv.blocks(spark, d), options(spark), list(PRESETS))
 
 
-@query("option_diff", I + KEPT + " SELECT kind, count(*) FILTER (preset = 'full') - count(*) FILTER (preset = 'lean') AS difference FROM k GROUP BY kind HAVING difference <> 0")
+@query("preset_diff", I + KEPT + " SELECT kind, count(*) FILTER (preset = 'full') - count(*) FILTER (preset = 'lean') AS difference FROM k GROUP BY kind HAVING difference <> 0")
 def _(spark, d):
     c = vw.presets(dv.blocks(spark, d), options(spark), list(PRESETS))
     return c.select("kind", (F.col("full") - F.col("lean")).alias("difference")).where("difference <> 0")
