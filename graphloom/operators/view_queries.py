@@ -192,10 +192,7 @@ def _(spark, d):
 @query("height_inf_reach", G + SCC + ", " + HEIGHT + " SELECT fn, CASE WHEN fn IN (SELECT fn FROM loops) OR fn IN (SELECT src FROM c WHERE dst IN (SELECT fn FROM loops)) THEN 'inf' ELSE (SELECT max(d) FROM h WHERE h.fn = nodes.fn)::VARCHAR END AS height FROM nodes")
 def _(spark, d):
     """Heights where whatever reaches a cycle is infinite as well."""
-    n, p = graph(spark, d)
-    endless = cg.components(n, p).where("cyclic").select("fn")
-    reach = cg.reach(n, p, endless, backwards=True).select("fn", F.lit(True).alias("endless"))
-    return cg.heights(n, p).join(reach, "fn", "left").select("fn", F.when(F.col("endless"), "inf").otherwise(inf()).alias("height"))
+    return cg.endless(*graph(spark, d)).withColumn("height", inf())
 
 
 @query("merge_names", CG + ", s AS (SELECT src AS key, tu, true AS def, line FROM cg UNION ALL SELECT dst, tu, false, line FROM cg) SELECT key, arg_min(key || '@' || tu, (NOT def, tu)) AS name, min(line) FILTER (NOT def) AS decl_line, bool_or(def) AS def FROM s GROUP BY key")
